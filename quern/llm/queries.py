@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.bpe_stream import op7_bpe_roundtrip
+from quern.llm.chat import OP10_SQL, op10_chat_format
+from quern.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from quern.llm.packing import op5_packing
 from quern.llm.tokens import op1_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op7_bpe_roundtrip)}
+    return {f.__name__: f for f in (op1_token_counts, op4_exact_dedup, op5_packing, op7_bpe_roundtrip, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_dedup": OP4_SQL, "op10_chat_format": OP10_SQL}
