@@ -1,7 +1,7 @@
 """Packing documents into sequences by cutting-stock column generation.
 
-A document is cut into whole sequences and one remainder. Remainders are rounded up to classes of a few tokens; the
-histogram of classes, whose size does not depend on the corpus, goes to the driver. There a linear program over patterns
+A document is cut into whole sequences, a block of whole sixteenths of a sequence, and what is left. Blocks fit exactly and
+what is left is rounded up to classes of a few tokens, so that small pieces can fill every gap; the histogram of classes, whose size does not depend on the corpus, goes to the driver. There a linear program over patterns
 (how many pieces of each class share a sequence) is solved by column generation: a knapsack by dynamic programming,
 priced with the duals, finds the next pattern. Patterns are used a whole number of times; the few pieces that rounding
 leaves are placed by best fit. Back on the cluster, every piece's rank within its class decides its pattern and slot.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quern.llm.bpe_stream import WordCodec
 from quern.llm.common import bound_batches, materialise, package_path, read, slices
 
-SEQUENCE, GRAIN, END_ID = 2048, 4, 1
+SEQUENCE, BLOCK, GRAIN, END_ID = 2048, 128, 4, 1
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, class int, task int, at long"
 
 
@@ -41,7 +41,13 @@ def codec_of(path: str) -> BytesCodec:
     return BytesCodec(path)
 
 
-def pieces(docs: DataFrame, tokenizer: str, sequence: int, grain: int, doc_id: str, text: str) -> DataFrame:
+def cuts(n: int, sequence: int, block: int) -> list[tuple[int, int]]:
+    """From and to of the pieces of a document of n tokens."""
+    marks = sorted({*range(0, n + 1, sequence), n - n % block, n})
+    return list(zip(marks, marks[1:]))
+
+
+def pieces(docs: DataFrame, tokenizer: str, sequence: int, block: int, grain: int, doc_id: str, text: str) -> DataFrame:
     """One row for each piece; `at` counts the pieces of a class within its task."""
     bound_batches(docs.sparkSession)
     names = [doc_id, *(c.split()[0] for c in PIECE.split(", "))]
@@ -57,8 +63,8 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int, grain: int, doc_id: s
                 for i in range(a, b):
                     data = b"".join(codec.values(texts[i])) + end
                     n = len(data) // 4
-                    for start in range(0, n, sequence):
-                        part = data[4 * start : 4 * (start + sequence)]
+                    for start, stop in cuts(n, sequence, block):
+                        part = data[4 * start : 4 * stop]
                         k = -(-len(part) // (4 * grain))
                         rows.append((start, len(part) // 4, zlib.crc32(part), n, k, task, count[k]))
                         of.append(i)
@@ -170,14 +176,14 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return rows
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", sequence: int = SEQUENCE, grain: int = GRAIN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", sequence: int = SEQUENCE, block: int = BLOCK, grain: int = GRAIN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece: the id, start, length, ids_crc32, doc_tokens, sequence_id and offset.
 
     A null or empty text is one piece that holds the end id alone. Repeated rows are packed each for itself, null ids
     pass through, other columns are ignored, an empty table gives an empty table.
     """
     spark = docs.sparkSession
-    made = materialise(pieces(docs, tokenizer, sequence, grain, doc_id, text), "pieces")
+    made = materialise(pieces(docs, tokenizer, sequence, block, grain, doc_id, text), "pieces")
     counts = materialise(made.groupBy("task", "class").agg(F.count("*").alias("n")), "piece-counts")
     before = Window.partitionBy("class").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("task", "class", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
