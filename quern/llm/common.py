@@ -109,3 +109,31 @@ def package_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(os.path.basename(name))
+
+
+def filter_texts(df: DataFrame, keeps: Callable[[list], list[bool]], text: str = "text") -> DataFrame:
+    """The rows whose text keeps() accepts, all columns as they are."""
+    bound_batches(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for a, b in slices([len(t or "") for t in texts]):
+                yield batch.slice(a, b - a).filter(pa.array([bool(k) for k in keeps(texts[a:b])], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def share_sample(rows: DataFrame, group: str, key: str, each: int, most: int, longest: int, text: str = "text") -> list[tuple]:
+    """(group, text) of about `each` rows of every group, taken by a hash of their key; at most `most` rows in all.
+
+    Texts of over `longest` characters are left out of the sample, so the driver holds at most most * longest characters.
+    """
+    fit = rows.filter(F.col(group).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= longest))
+    counts = {r[0]: r[1] for r in fit.groupBy(group).count().orderBy(F.desc("count"), group).limit(64).collect()}
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, each / n))])[F.col(group)]
+    taken = fit.filter(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 20)) < share * (1 << 20))
+    return sorted((tuple(r) for r in taken.select(group, text).limit(most).collect()), key=lambda r: (str(r[0]), r[1]))
