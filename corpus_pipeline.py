@@ -1,15 +1,51 @@
-"""A corpus pipeline from the operators of quern.llm: run(spark, sf_dir) applies STAGES in order."""
+"""A corpus pipeline from the operators of quern.llm: run(spark, sf_dir) applies STAGES, in order, to documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quern.llm import exact_dedup, language, near_dedup, packing, quality
+from quern.llm.common import materialise, read
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier, learnt from this stage's labelled input, rejects."""
+    return quality.keep_good(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language or with an ambiguous one."""
+    return language.keep_identified(docs, language.learn(docs))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates stays."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences for training."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("language", known_language),
+    ("exact dedup", without_copies),
+    ("near dedup", without_near_copies),
+    ("packing", packed),
+]
+#: The classifiers cannot be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,7 +23,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small: long texts must not meet by the ten thousand in one Python worker."""
+    """Keeps Arrow batches small, as long texts must not meet by the ten thousand in one Python worker, and sends them this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
@@ -30,6 +33,20 @@ def bound_batches(spark: SparkSession) -> None:
             raise
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a context: they may run where it is not installed."""
+    context = spark.sparkContext
+    if getattr(context, "quern_shipped", False):
+        return
+    here = pathlib.Path(__file__).resolve().parents[1]
+    target = os.path.join(tempfile.mkdtemp(prefix="quern-"), "quern.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    context.addPyFile(target)
+    context.quern_shipped = True
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder of spark.checkpoint.dir; only where that is unset (tests) a local one is made."""
     jvm = spark.sparkContext._jvm
@@ -85,7 +102,6 @@ def map_texts(df: DataFrame, function: Callable[[list], dict[str, list]], schema
     bound_batches(df.sparkSession)
     kept = [df.schema[c] for c in keep]
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [schema])
-    target = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +111,6 @@ def map_texts(df: DataFrame, function: Callable[[list], dict[str, list]], schema
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()], names=list(keep) + list(made))
 
-    del target
     return df.select(*keep, text).mapInArrow(run, fields)
 
 

@@ -11,8 +11,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import bound_batches, map_texts, materialise, read
 from quern.llm.components import components
+from quern.llm.words import GOLD, M1, PLACES, U, Words, constants, mix
 
 WORDS, PERCENT = 5, 85
 #: 32 bands of 6 minima miss a pair at 85 % with probability 3e-7.
@@ -30,60 +29,19 @@ SKETCH, LOOK_FROM = 128, 0.70
 #: Documents of a block; a task compares at most two blocks.
 BLOCK = 256
 
-U = np.uint64
-GOLD, M1, M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers whose output bits depend on all input bits."""
-    x = (x ^ (x >> U(30))) * M1
-    x = (x ^ (x >> U(27))) * M2
-    return x ^ (x >> U(31))
-
-
-def constants(label: str, n: int) -> np.ndarray:
-    return np.frombuffer(b"".join(hashlib.sha256(f"{label}{i}".encode()).digest()[:8] for i in range(n)), U)
-
-
-LETTERS = constants("letter", 256)
-PLACES = constants("place", WORDS) | U(1)
 FACTORS = constants("factor", BANDS * ROWS) | U(1)
 SHIFTS = constants("shift", BANDS * ROWS)
-BASE = U(0x5851F42D4C957F2D)
-BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
-
-
-def powers(base: U, n: int) -> np.ndarray:
-    got = np.full(n, base, U)
-    got[0] = 1
-    return np.cumprod(got)
 
 
 def shingles(texts: list[str | None]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text: A-Z lower-cased, words are runs of other than the six ASCII blanks."""
-    data = [(t or "").encode() for t in texts]
-    b = np.frombuffer(b" " + b" ".join(data) + b" ", np.uint8)
-    b = np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.uint8)
-    blank = (b == 32) | ((b >= 9) & (b <= 13))
-    starts = np.flatnonzero(~blank[1:] & blank[:-1]) + 1
-    ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-    # a word's hash: its letters' numbers times powers of the base, from prefix sums modulo 2**64
-    sums = np.concatenate([[U(0)], np.cumsum(LETTERS[b] * powers(BASE, len(b)))])
-    words = mix((sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(b))[starts] + (ends - starts).astype(U) * GOLD)
-    edge = np.cumsum([1] + [len(d) + 1 for d in data])
-    first = np.searchsorted(starts, edge)
-    grams = np.zeros(len(words), U)
-    n = len(words) - WORDS + 1
-    if n > 0:
-        for k in range(WORDS):
-            grams[:n] += words[k : n + k] * PLACES[k]
-    grams = mix(grams)
-    out = []
-    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+    """Sorted distinct shingle hashes of each text, A-Z lower-cased."""
+    words = Words(texts, lower=True)
+    grams, first, out = words.windows(WORDS), words.first.tolist(), []
+    for lo, hi in zip(first[:-1], first[1:], strict=True):
         if hi - lo >= WORDS:
             out.append(np.unique(grams[lo : hi - WORDS + 1]))
         elif hi > lo:  # fewer words: the whole sequence is the one shingle
-            out.append(mix(np.array([np.sum(words[lo:hi] * PLACES[: hi - lo])], U) + U(hi - lo)))
+            out.append(mix(np.sum(words.hashes[lo:hi] * PLACES[: hi - lo], keepdims=True) + U(hi - lo)))
         else:
             out.append(np.zeros(0, U))
     return out
@@ -167,8 +125,8 @@ def links_of(block: pd.DataFrame) -> pd.DataFrame:
 def near_duplicates(docs: DataFrame, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: the id, n_shingles, component_id (least id reachable) and kept (the id is that one).
 
-    Null and empty texts and texts without words have no shingles and no links. Rows with one id are one node, so
-    repeated rows share their result. Rows with a null id are not linked; they stay, with a null component. Other
+    Null and empty texts and texts without words have no shingles and no links. Rows with one id share the least
+    component of their texts, so repeated rows share their result. Rows with a null id are not linked; they stay, with a null component. Other
     columns are ignored; an empty table gives an empty table.
     """
     spark = docs.sparkSession
