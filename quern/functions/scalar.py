@@ -265,7 +265,10 @@ def json_extract(j: Column, path: str) -> Column:
 
 
 def json_valid(j: Column) -> Column:
-    return F.when(j.isNotNull(), F.try_parse_json(j).isNotNull().cast("bigint"))
+    """1 or 0. The parser stops after the first value; a value that is also sound inside brackets and inside braces stands alone."""
+    listed, held = F.concat(F.lit("["), j, F.lit("]")), F.concat(F.lit('{"v":'), j, F.lit("}"))
+    sound = F.try_parse_json(listed).isNotNull() & F.try_parse_json(held).isNotNull() & (F.json_array_length(listed) == 1)
+    return F.when(j.isNotNull(), sound.cast("bigint"))
 
 
 def json_keys(j: Column) -> Column:
