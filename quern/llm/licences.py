@@ -25,7 +25,7 @@ SENTENCES = {
     "bsd-redistribute": r"redistribution and use in source and binary forms, with or without modification, are permitted .*",
     "bsd-source": r"(\d[.)] ?)?redistributions of source code must retain the above copyright notice.*",
     "bsd-binary": r"(\d[.)] ?)?redistributions in binary form must reproduce the above copyright notice.*",
-    "bsd-endorse": r"(\d[.)] ?)?neither the name of .* may be used to endorse or promote products .*",
+    "bsd-endorse": r"(\d[.)] ?)?neither the name of .* may be used to endorse or promote products.*",
     "cc-name": r"(this (work|document|text|article) is )?(released|licen[sc]ed) under (a |the )?(creative commons|cc)[ -](?P<cc>by(-(nc|sa|nd))*)( licen[sc]e)?,? ?(?P<ccv>\d\.\d)?( international)?( licen[sc]e)?",
     "cc0-name": r"(this \w+ is )?(released|dedicated|licen[sc]ed) (under|to) (the )?(cc0|public domain)( 1\.0)?.*",
     "mpl-name": r"this source code form is subject to the terms of the mozilla public licen[sc]e, v\. ?2\.0",
@@ -53,7 +53,7 @@ RULES = (
     (("all-rights",), "Proprietary"),
 )
 GAP = 2
-WORDS_OF_INTEREST = re.compile(r"licen[sc]e|rights reserved|redistribut|permission|warrant|copyright|\(c\)|©|cc0|either version", re.IGNORECASE)
+WORDS_OF_INTEREST = re.compile(r"licen[sc]e|rights reserved|redistribut|permission|warrant|copyright|\(c\)|©|cc0|either version|endorse", re.IGNORECASE)
 END = re.compile(r"[.!?](?=\s|$)|\n")
 DECORATION = re.compile(r"^[\s#*/;>%\-]+|[\s*/]+$")
 
