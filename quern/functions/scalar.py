@@ -21,7 +21,8 @@ def desc(c: str | Column) -> Column:
 def int_div(a: Column, b: Column) -> Column:
     """INTEGER / INTEGER: toward zero; by zero it is null."""
     safe = F.when(b != 0, b)
-    return F.try_divide(a - F.try_mod(a, safe), safe).cast("bigint")
+    whole = lambda x: x.cast("decimal(20,0)")  # noqa: E731  exact, where doubles are not
+    return F.try_divide(whole(a - F.try_mod(a, safe)), whole(safe)).cast("bigint")
 
 
 def div(a: Column, b: Column) -> Column:
