@@ -155,11 +155,14 @@ def from_hex(s: Column) -> Column:
     return F.when(s.rlike("^([0-9A-Fa-f]{2})*$"), F.unhex(s)).when(s.isNotNull(), F.raise_error(F.lit("not hexadecimal")).cast("binary"))
 
 
+def glob_regex(pattern: str) -> str:
+    special = set(".\\+^$()[]{}|")
+    return "(?s)^" + "".join(".*" if c == "*" else "." if c == "?" else "\\" + c if c in special else c for c in pattern) + "$"
+
+
 def glob(s: Column, pattern: str) -> Column:
     """* is any text, ? any character; case counts."""
-    special = set(".\\+^$()[]{}|")
-    body = "".join(".*" if c == "*" else "." if c == "?" else "\\" + c if c in special else c for c in pattern)
-    return s.rlike(f"(?s)^{body}$")
+    return s.rlike(glob_regex(pattern))
 
 
 def collate(s: Column, name: str) -> Column:
