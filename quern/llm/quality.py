@@ -149,7 +149,7 @@ def fit(rows: list[tuple[int, str]], epochs: int = 12, batch: int = 64, rate: fl
         p = 1 / (1 + np.exp(-(a * z / spread + b)))
         g = (p - labels) * np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
         a, b = a - 1.0 * ((g * z / spread).sum() + 1e-3 * a), b - 1.0 * g.sum()
-    model.slope, model.shift = float(a / spread), float(b)
+    model.slope, model.shift = float(a / spread), float(b + np.log(THRESHOLD / (1 - THRESHOLD)))  # even odds lie at the threshold
     return model
 
 
