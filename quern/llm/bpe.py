@@ -68,7 +68,9 @@ class MergeTable:
                 node = nxt
             if symbols:
                 self.token[node] = t
-        self._fits: dict[tuple[int, int], bool] = {}
+        leaf: dict[int, int] = {}
+        self.children = [c or leaf for c in self.children]  # most nodes are leaves
+        self._fits: dict[int, bool] = {}
 
     def neighbours(self, a: int, b: int) -> bool:
         """Whether the merges leave the cut between a and b standing.
@@ -77,7 +79,7 @@ class MergeTable:
         by side, and a merge of the two that ranks earlier than the one undone would have closed the cut. Merges of one
         rank go from left to right, so a tie is won by the cut against b's own merge and lost against a's.
         """
-        known = self._fits.get((a, b))
+        known = self._fits.get(a << 20 | b)
         if known is not None:
             return known
         x, y, until = a, b, INF
@@ -94,9 +96,9 @@ class MergeTable:
                 x, until = self.parts[x][1], left
             else:
                 y, until = self.parts[y][0], right + 1
-        if len(self._fits) > 1_000_000:
+        if len(self._fits) > 100_000:
             self._fits.clear()
-        self._fits[a, b] = fits
+        self._fits[a << 20 | b] = fits
         return fits
 
     def sufficient_lookahead(self) -> int:
@@ -136,70 +138,66 @@ class Transducer:
     two words, the table starts anew, which changes time and not results.
     """
 
-    SYMBOL_BITS, OUT_BITS = 9, 24
-
-    def __init__(self, table: MergeTable, counting: bool, most: int = 400_000):
+    def __init__(self, table: MergeTable, counting: bool, most: int = 250_000):
         self.table, self.counting, self.most = table, counting, most
         self.zero = 0 if counting else ()
         self.clear()
 
     def clear(self) -> None:
-        self.places = {(0, -1, self.zero): 0}  # a path under way: node, token before it, output not yet shared
-        self.place = [(0, -1, self.zero)]
-        self.states = [(0,)]
-        self.index = {(0,): 0}
-        self.moves: dict[int, int] = {}
-        self.outs = [self.zero]
+        self.outs = [self.zero]  # outputs by number
         self.out_index = {self.zero: 0}
+        start = self._path(0, -1, self.zero)
+        self.states = [(start,)]  # paths under way, packed into one integer each
+        self.index = {(start,): 0}
+        self.moves: dict[int, int] = {}  # state and symbol, packed: next state and output, packed
 
-    def _place(self, place: tuple) -> int:
-        known = self.places.get(place)
+    def _number(self, out) -> int:
+        known = self.out_index.get(out)
         if known is None:
-            known = self.places[place] = len(self.place)
-            self.place.append(place)
+            known = self.out_index[out] = len(self.outs)
+            self.outs.append(out)
         return known
 
+    def _path(self, node: int, before: int, rest) -> int:
+        """A path under way: its node, the token before it, and its output that the paths do not share."""
+        return node << 44 | (before + 1) << 24 | self._number(rest)
+
     def step(self, s: int, x: int) -> int:
         """Makes the move from s by x: the next state, shifted left, and the number of its output."""
-        t, place = self.table, self.place
+        t, outs = self.table, self.outs
         alive, here = [], None
-        for p in self.states[s]:
-            node, before, rest = place[p]
-            node = t.children[node].get(x)
+        for path in self.states[s]:
+            node = t.children[path >> 44].get(x)
             if node is None:
                 continue
-            token = t.token[node]
+            before, token = (path >> 24 & 0xFFFFF) - 1, t.token[node]
             if token >= 0 and here is None and (before < 0 or t.neighbours(before, token)):
-                here = (0, token, rest + (1 if self.counting else (token,)))
+                here = (0, token, outs[path & 0xFFFFFF] + (1 if self.counting else (token,)))
             if t.children[node]:
-                alive.append((node, before, rest))
+                alive.append((node, before, outs[path & 0xFFFFFF]))
         if here is None:
             raise ValueError(f"the vocabulary has no token for symbol {x}")
         alive.append(here)
         if self.counting:
-            shared = min(rest for _, _, rest in alive)
-            state = tuple([self._place((node, before, rest - shared)) for node, before, rest in alive])
+            shared = min([rest for _, _, rest in alive])
+            state = tuple([self._path(node, before, rest - shared) for node, before, rest in alive])
         else:
             shared = here[2]
             for _, _, rest in alive:
                 shared = shared[: len(rest)]
                 while shared != rest[: len(shared)]:
                     shared = shared[:-1]
-            state = tuple([self._place((node, before, rest[len(shared) :])) for node, before, rest in alive])
+            state = tuple([self._path(node, before, rest[len(shared) :]) for node, before, rest in alive])
         to = self.index.get(state)
         if to is None:
             to = self.index[state] = len(self.states)
             self.states.append(state)
-        out = self.out_index.get(shared)
-        if out is None:
-            out = self.out_index[shared] = len(self.outs)
-            self.outs.append(shared)
-        made = self.moves[s << self.SYMBOL_BITS | x] = to << self.OUT_BITS | out
+        made = self.moves[s << 9 | x] = to << 24 | self._number(shared)
         return made
 
     def pending(self, s: int):
         """What the end of the word adds in state s: the open output of the path that ends here."""
-        return self.place[self.states[s][-1]][2]
+        return self.outs[self.states[s][-1] & 0xFFFFFF]
 
     def word(self, data: bytes):
         """All that a word's bytes put out."""
@@ -225,6 +223,33 @@ class Transducer:
         return total + self.pending(s)
 
 
+class Recent:
+    """A bounded table. `new`, which may be read directly, takes what comes first and so what comes often; a small spare
+    table takes the rest and is emptied when full. After many misses all starts anew, should the texts have changed."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.new, self.spare, self.missed = {}, {}, 0
+
+    def find(self, key):
+        got = self.new.get(key)
+        return self.spare.get(key) if got is None else got
+
+    def keep(self, key, value) -> None:
+        if len(self.new) < self.most:
+            self.new[key] = value
+            return
+        self.missed += 1
+        if self.missed > 16 * self.most:
+            self.clear()
+        if len(self.spare) >= self.most // 4:
+            self.spare = {}
+        self.spare[key] = value
+
+
 @lru_cache(maxsize=4)
 def table(path: str) -> MergeTable:
     """One per worker process and file."""

@@ -15,6 +15,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import bpe
@@ -41,37 +42,36 @@ def kind(ch: str) -> str:
 class WordCodec:
     """Encodes as the library does for a vocabulary of lower-case words with an end mark, white space dropped."""
 
-    def __init__(self, path: str, kept_words: int = 200_000):
+    nothing: tuple | bytes = ()
+
+    def __init__(self, path: str, kept_words: int = 240_000):
         self.path = path
         self.table = bpe.table(path)
         self.machine = bpe.Transducer(self.table, counting=False)
-        self.kept, self.seen, self.words = kept_words, {}, {}
+        self.seen, self.words = bpe.Recent(kept_words), bpe.Recent(kept_words // 3)
         self.special = sorted(self.table.special.items(), key=lambda x: -len(x[0]))
 
     def cut(self, run: str) -> list[str]:
         """Words of a run without white space, in lower case."""
         if not run.isascii():
             run = unicodedata.normalize("NFC", run)
-        kinds = None
-        if (run.isalpha() or run[:-1].isalpha() and run[-1] in ".,") and "Σ" not in run:  # what nearly all runs are
-            run = run.lower()
-            if run.isalpha():
-                return [run]
-            if run[:-1].isalpha():
-                return [run[:-1], run[-1]]
+        low = run.lower() if "Σ" not in run else "".join(c.lower() for c in run)
+        if low.isalpha():  # what nearly all runs are: letters, and perhaps one mark
+            return [low]
+        if low[-1] in ".,!?;:" and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
         if any(unicodedata.category(c) == "Cn" for c in run):  # newer than this Python: the library's own tables decide
-            run, kinds = self._ask(run)
+            low, kinds = self._ask(run)
         else:
-            run = run.lower() if "Σ" not in run else "".join(c.lower() for c in run)
-        kinds = kinds or [kind(c) for c in run]
+            kinds = [kind(c) for c in low]
         words, at = [], 0
-        while at < len(run):
-            end = next((at + 1 + len(e) for e in ENDINGS if run.startswith(e, at + 1)), 0) if run[at] == "'" else 0
+        while at < len(low):
+            end = next((at + 1 + len(e) for e in ENDINGS if low.startswith(e, at + 1)), 0) if low[at] == "'" else 0
             if not end:
                 end, k = at + 1, kinds[at]
-                while end < len(run) and k != "N" and kinds[end] == k:
+                while end < len(low) and k != "N" and kinds[end] == k:
                     end += 1
-            words.append(run[at:end])
+            words.append(low[at:end])
             at = end
         return words
 
@@ -81,20 +81,22 @@ class WordCodec:
         pairs = library.pre_tokenizer.pre_tokenize_str
         return run, ["N" if len(pairs(c + c)) == 2 else "L" if len(pairs("a" + c)) == 1 else "O" for c in run]
 
-    def run(self, run: str) -> tuple[int, ...]:
-        ids, known = (), self.words
+    def word(self, word: str):
+        """What is kept for a word; for several words these are added. Here: ids."""
+        return self.machine.word(word.encode())
+
+    def run(self, run: str):
+        out, known = self.nothing, self.words
         for word in self.cut(run):
-            got = known.get(word)
+            got = known.find(word)
             if got is None:
-                got = self.machine.word(word.encode())
-                if len(known) >= self.kept:
-                    known.clear()
-                known[word] = got
-            ids += got
-        return ids
+                got = self.word(word)
+                known.keep(word, got)
+            out += got
+        return out
 
     def value(self, run: str):
-        """What is kept for a run: here its ids."""
+        """What is kept for a run."""
         return self.run(run)
 
     def segments(self, text: str) -> Iterator[str | int]:
@@ -121,16 +123,14 @@ class WordCodec:
                 out.append(self.special_value(part))
                 continue
             runs = part.split() if not any(c in part for c in PYTHON_ONLY_SPACES) else split_spaces(part)
-            got = list(map(seen.get, runs))
+            got = list(map(seen.new.get, runs))
             if None in got:
                 for i, v in enumerate(got):
                     if v is None:
-                        v = seen.get(runs[i])
+                        v = seen.find(runs[i])
                         if v is None:
                             v = self.value(runs[i])
-                            if len(seen) >= self.kept:
-                                seen.clear()
-                            seen[runs[i]] = v
+                            seen.keep(runs[i], v)
                         got[i] = v
             out += got
         return out
@@ -144,6 +144,13 @@ def split_spaces(text: str) -> list[str]:
     return [r for r in "".join([" " if c in SPACES else c for c in text]).split(" ") if r]
 
 
+@lru_cache(maxsize=1)
+def joining() -> frozenset[str]:
+    """Characters that NFC may compose with what stands before them, though they need not be combining."""
+    pairs = [d for c in range(0x30000) if (d := unicodedata.decomposition(chr(c))) and "<" not in d and " " in d]
+    return frozenset({chr(int(d.split()[1], 16)) for d in pairs} | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))})
+
+
 class StreamingEncoder:
     """feed() takes any pieces of one text without special strings and yields ids once stable; finish() yields the rest.
 
@@ -162,8 +169,8 @@ class StreamingEncoder:
         if move is None:
             move = self.machine.step(self.state, x)
         self.state = move >> 24
-        pending = self.machine.place[self.machine.states[self.state][0]][2]
-        self.held_most = max(self.held_most, len(pending))
+        held = max(len(self.machine.outs[p & 0xFFFFFF]) for p in self.machine.states[self.state])
+        self.held_most = max(self.held_most, held)
         return self.machine.outs[move & 0xFFFFFF]
 
     def _end(self) -> list[int]:
@@ -188,7 +195,7 @@ class StreamingEncoder:
         text = self.text + piece
         stop = len(text)
         if not last:  # the last starter may still compose with what follows
-            while stop and (stop == len(text) or unicodedata.combining(text[stop])):
+            while stop and (stop == len(text) or unicodedata.combining(text[stop]) or text[stop] in joining()):
                 stop -= 1
         ready, self.text = unicodedata.normalize("NFC", text[:stop]), text[stop:]
         ready = "".join(c.lower() for c in ready)
@@ -246,7 +253,7 @@ class StreamingDecoder:
 class DigestCodec(WordCodec):
     """Keeps for each run the number of ids, their decimal digits and their decoded text, each made by the machines."""
 
-    def __init__(self, path: str, kept_words: int = 200_000):
+    def __init__(self, path: str, kept_words: int = 180_000):
         super().__init__(path, kept_words)
         self.decoder = StreamingDecoder(self.table)
 
@@ -267,17 +274,16 @@ def digests(path: str) -> DigestCodec:
     return DigestCodec(path)
 
 
+@lru_cache(maxsize=2)
+def codec_of(path: str) -> WordCodec:
+    return WordCodec(path)
+
+
 def encode_texts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the id, ids array<int>. Null and empty texts give an empty array; repeated rows and null ids pass through."""
 
-    @lru_cache(maxsize=1)
-    def codec(path: str) -> WordCodec:
-        return WordCodec(path)
-
     def encode(texts: list) -> dict[str, list]:
-        import pyarrow as pa
-
-        made = codec(package_path(tokenizer))
+        made = codec_of(package_path(tokenizer))
         return {"ids": pa.array([made.encode(t) for t in texts], pa.list_(pa.int32()))}
 
     return map_texts(docs, encode, "ids array<int>", (doc_id,), text)

@@ -9,6 +9,7 @@ leaves are placed by best fit. Back on the cluster, every piece's rank within it
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,11 +30,13 @@ PIECE = "start long, length long, ids_crc32 long, doc_tokens long, class int, ta
 class BytesCodec(WordCodec):
     """Keeps the ids of a run as little-endian unsigned 32-bit bytes."""
 
-    def value(self, run: str) -> bytes:
-        return np.array(self.run(run), "<u4").tobytes()
+    nothing = b""
+
+    def word(self, word: str) -> bytes:
+        return struct.pack(f"<{len(ids := super().word(word))}I", *ids)
 
     def special_value(self, i: int) -> bytes:
-        return np.array([i], "<u4").tobytes()
+        return struct.pack("<I", i)
 
 
 @lru_cache(maxsize=2)

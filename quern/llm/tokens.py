@@ -128,7 +128,7 @@ class Counter:
         self.table = bpe.table(path)
         self.machine = bpe.Transducer(self.table, counting=True)
         self.kinds = class_table()
-        self.kept, self.seen = kept_words, {}
+        self.seen = bpe.Recent(kept_words)
         self.special = sorted(self.table.special, key=len, reverse=True)
 
     def settle(self, points: np.ndarray) -> None:
@@ -140,10 +140,10 @@ class Counter:
             self.kinds[c] = next((k for k, before in ((LETTER, "a"), (NUMBER, "1")) if len(split(before + chr(c))) == 1), OTHER)
 
     def word(self, word: str) -> int:
-        n = self.machine.word(word.encode())
-        if len(self.seen) >= self.kept:
-            self.seen.clear()
-        self.seen[word] = n
+        n = self.seen.find(word)
+        if n is None:
+            n = self.machine.word(word.encode())
+            self.seen.keep(word, n)
         return n
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
@@ -166,9 +166,9 @@ class Counter:
         begins = np.flatnonzero(word_marks(kinds))
         real = kinds[begins] != CUT
         ends = np.append(begins[1:], len(kinds))
-        get, word = self.seen.get, self.word
+        word, seen = self.word, self.seen
         at, to = begins[real], ends[real]
-        counts = np.fromiter((get(w) or word(w) for w in (stream[a:b] for a, b in zip(at.tolist(), to.tolist()))), np.int64, len(at))
+        counts = np.fromiter((seen.new.get(w) or word(w) for w in (stream[a:b] for a, b in zip(at.tolist(), to.tolist()))), np.int64, len(at))
         total = np.concatenate([[0], np.cumsum(counts)])
         lengths = np.fromiter((len(t) + 1 for t in ready), np.int64, len(ready))
         edge = np.concatenate([[0], np.cumsum(lengths)])
