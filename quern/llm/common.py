@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most characters that one numpy step over an Arrow batch takes in, so that memory does not follow the input.
-STEP_CHARS = 1 << 20
+#: Most characters and texts that one numpy step over an Arrow batch takes in, so that memory does not follow the input.
+STEP_CHARS, STEP_TEXTS = 1 << 19, 256
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -86,10 +86,10 @@ def lower_ascii(text: Column) -> Column:
 
 
 def slices(lengths: list[int], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of at most `most` characters together; a longer text stands alone."""
+    """Ranges of at most STEP_TEXTS neighbouring texts of at most `most` characters together; a longer text stands alone."""
     at = total = 0
     for i, n in enumerate(lengths):
-        if i > at and total + n > most:
+        if i > at and (total + n > most or i - at >= STEP_TEXTS):
             yield at, i
             at, total = i, 0
         total += n

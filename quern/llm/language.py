@@ -94,9 +94,14 @@ def fit(rows: list[tuple[str, str]], margin: float = 0.2, rounds: int = 150) ->
     """Learns from (language, text) rows: one logistic regression for each bit, all bits together, by Adam."""
     languages = sorted({lang for lang, _ in rows})
     codes = codewords(len(languages))
-    x, known = features([t for _, t in rows]) if rows else (np.zeros((0, BUCKETS), np.float32), np.zeros(0, bool))
+    made = [features([t for _, t in rows[i : i + 100]]) for i in range(0, len(rows), 100)]  # piece by piece, to hold little
+    x = np.concatenate([np.zeros((0, BUCKETS), np.float32), *(m[0] for m in made)])
+    known = np.concatenate([np.zeros(0, bool), *(m[1] for m in made)])
+    del made
     y = codes[[languages.index(lang) for lang, _ in rows]] if rows else np.zeros((0, codes.shape[1]))
-    x, y = x[known], y[known].astype(np.float32)
+    if not known.all():
+        x, y = x[known], y[known]
+    y = y.astype(np.float32)
     w, b = np.zeros((BUCKETS, codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
     m = [np.zeros_like(w), np.zeros_like(b)]
     v = [np.zeros_like(w), np.zeros_like(b)]
