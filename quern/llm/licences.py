@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,61 +55,101 @@ RULES = (
     (("all-rights",), "Proprietary"),
 )
 GAP = 2
+HEAD = ("copyright", "all-rights")
 WORDS_OF_INTEREST = re.compile(r"licen[sc]e|rights reserved|redistribut|permission|warrant|copyright|\(c\)|©|cc0|either version|endorse", re.IGNORECASE)
-END = re.compile(r"[.!?](?=\s|$)|\n")
+#: A full stop ends a sentence, but not in `v. 2.0` nor after a list's number.
+END = re.compile(r"(?:(?<!\bv)\.|(?<=\bv)\.(?!\s*\d)|[!?])(?=\s|$)|;(?=\s)|\n", re.IGNORECASE)
+NUMBER = re.compile(r"[\s#*/;>%\-]*\d{1,2}\.")
 DECORATION = re.compile(r"^[\s#*/;>%\-]+|[\s*/]+$")
+CLOSING = ".!?,;: "
+#: A notice of one line, whose pattern would take in any line with a year after it.
+ONE_LINE = "copyright"
+#: May begin amid a line.
+AMID, AMID_WORDS = "gpl-version", "either version"
 
 
 @lru_cache(maxsize=1)
-def patterns() -> list[tuple[str, re.Pattern]]:
-    return [(name, re.compile(p, re.DOTALL)) for name, p in SENTENCES.items()]
+def patterns() -> list[tuple[str, re.Pattern, bool]]:
+    """(identifier, pattern, whether anything may follow); of the latter the pattern is the least that must be there."""
+    got = []
+    for name, p in SENTENCES.items():
+        is_open = p.endswith(".*")
+        got.append((name, re.compile(p.removesuffix(".*").replace(".*", ".*?") if is_open else p, re.DOTALL), is_open))
+    return got
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """From and to of the sentences: they end at a full stop before white space, and at a line's end."""
-    spans, at = [], 0
-    for m in END.finditer(text):
-        stop = m.start() if m[0] == "\n" else m.end()
-        if text[at:stop].strip():
-            spans.append((at, stop))
-        at = m.end()
-    if text[at:].strip():
-        spans.append((at, len(text)))
-    return spans
+def sentences(text: str) -> list[list[tuple[int, int]]]:
+    """The sentences, each as from and to of its pieces: its lines, cut at semicolons too, as notices may begin there.
 
-
-def normalise(sentence: str) -> str:
-    plain = DECORATION.sub("", sentence.translate({0x201C: '"', 0x201D: '"', 0x2018: "'", 0x2019: "'"}))
-    return " ".join(plain.lower().split()).rstrip(".!?,;: ")
+    A sentence ends at a full stop before white space, at a line without words and at the text's end.
+    """
+    made, pieces, at = [], [], 0
+    for m in [*END.finditer(text), None]:
+        if m and m[0] == "." and NUMBER.fullmatch(text, at, m.end()):
+            continue
+        stop = len(text) if m is None else m.start() if m[0] == "\n" else m.end()
+        wordless = not plain(text[at:stop]).strip(CLOSING)
+        if not wordless:
+            pieces.append((at, stop))
+        # what is left of a line after its last mark is no empty line
+        empty = wordless and m is not None and m[0] == "\n" and (at == 0 or text[at - 1] == "\n")
+        if pieces and (m is None or empty or m[0] in ".!?"):
+            made.append(pieces)
+            pieces = []
+        at = stop if m is None else m.end()
+    return made
+
+
+def plain(piece: str) -> str:
+    return " ".join(DECORATION.sub("", piece.translate({0x201C: '"', 0x201D: '"', 0x2018: "'", 0x2019: "'"})).lower().split())
 
 
 def identify(text: str) -> list[tuple[int, int, int, str, dict]]:
-    """(sentence number, from, to, identifier, named parts) of every known sentence."""
+    """(sentence number, from, to, identifier, named parts) of every known sentence; one may lie inside a longer one."""
     found = []
-    for n, (a, b) in enumerate(sentences(text)):
-        part = text[a:b]
-        if WORDS_OF_INTEREST.search(part):
-            plain = normalise(part)
-            for name, pattern in patterns():
-                m = pattern.fullmatch(plain)
-                if m:
-                    found.append((n, a + len(part) - len(part.lstrip()), b, name, m.groupdict()))
-                    break
+    for n, pieces in enumerate(sentences(text)):
+        words = [plain(text[a:b]) for a, b in pieces]
+        joined = " ".join(words)
+        ends = list(accumulate((len(w) + 1 for w in words), initial=-1))[1:]
+        starts = [e - len(w) for e, w in zip(ends, words, strict=True)]
+        amid = {bisect_left(ends, m.start() + 1) for m in re.finditer(AMID_WORDS, joined)}
+        hits = []  # first piece, last piece, identifier, named parts, open
+        for i, start in enumerate(starts):
+            for name, pattern, is_open in patterns():
+                if name == AMID and i not in amid:
+                    continue
+                m = pattern.match(joined, start, ends[i] if name == ONE_LINE else len(joined))
+                if not m:
+                    continue
+                last = bisect_left(ends, m.end() - (joined[m.end() - 1] == " "))
+                if is_open:
+                    hits.append((i, last, name, m.groupdict(), name != ONE_LINE))
+                    continue
+                for j in range(i, last + 1):
+                    m = pattern.fullmatch(joined, start, start + len(joined[start : ends[j]].rstrip(CLOSING)))
+                    if m:
+                        hits.append((i, j, name, m.groupdict(), False))
+                        break
+        for i, j, name, parts, is_open in hits:
+            if is_open:  # up to what is known next
+                j = max(j, min((h[0] - 1 for h in hits if h[0] > i), default=len(pieces) - 1))
+            a, b = pieces[i][0], pieces[j][1]
+            found.append((n, a + len(text[a:b]) - len(text[a:b].lstrip()), b, name, parts))
     return found
 
 
-def scan(text: str | None) -> list[tuple[str, int, int]]:
-    """(licence, from, to) in order of place. Each known sentence belongs to one licence at most."""
-    if not text or not WORDS_OF_INTEREST.search(text):
-        return []
-    known = identify(text)
+def claims(known: list[tuple[int, int, int, str, dict]]) -> list[tuple[str, int, int]]:
+    """(licence, from, to) in order of place, from known sentences. Each belongs to one licence at most.
+
+    A copyright line and `all rights reserved` at the head of another licence say nothing else and belong to that one.
+    """
     free = [True] * len(known)
     out = []
     for names, licence in RULES:
         for i in range(len(known)):
             took = []
             for j in range(i, len(known)):
-                if took and known[j][0] - known[took[-1]][0] > GAP + 1:
+                if took and max(known[j][0] - known[took[-1]][0], j - took[-1]) > GAP + 1:
                     break
                 if free[j] and known[j][3] == names[len(took)]:
                     took.append(j)
@@ -119,9 +161,20 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
                 parts = {k: v for j in took for k, v in known[j][4].items() if v}
                 for j in took:
                     free[j] = False
+                if names == HEAD and any(0 <= first - known[took[-1]][0] <= GAP + 1 and start > known[took[-1]][1] for first, start in ((o[3], o[1]) for o in out if o[0] != licence)):
+                    continue
                 name = re.sub(r"\{(\w+)\}", lambda m, p=parts: p.get(m[1], "").upper() if m[1] == "cc" else p.get(m[1], ""), licence).rstrip("-")
-                out.append((name, known[took[0]][1], known[took[-1]][2]))
-    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+                out.append((name, known[took[0]][1], max(known[j][2] for j in took), known[took[0]][0]))
+    return sorted((x[:3] for x in out), key=lambda x: (x[1], x[2], x[0]))
+
+
+def known_sentences(text: str | None) -> list[tuple[int, int, int, str, dict]]:
+    return identify(text) if text and WORDS_OF_INTEREST.search(text) else []
+
+
+def scan(text: str | None) -> list[tuple[str, int, int]]:
+    """(licence, from, to) in order of place. Each known sentence belongs to one licence at most."""
+    return claims(known_sentences(text))
 
 
 def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,11 +186,12 @@ def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     span = pa.struct([("licence", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def run(texts: list) -> dict[str, list]:
-        found = [scan(t) for t in texts]
+        known = [known_sentences(t) for t in texts]
+        found = [claims(k) for k in known]
         return {
             "licences": pa.array([list(dict.fromkeys(x[0] for x in f)) for f in found], pa.list_(pa.string())),
             "spans": pa.array([[dict(zip(("licence", "start", "stop"), x, strict=True)) for x in f] for f in found], pa.list_(span)),
-            "n_sentences": [len(identify(t)) if f else 0 for t, f in zip(texts, found, strict=True)],
+            "n_sentences": [len(k) if f else 0 for k, f in zip(known, found, strict=True)],
         }
 
     return map_texts(docs, run, "licences array<string>, spans array<struct<licence:string,start:int,stop:int>>, n_sentences long", (doc_id,), text)

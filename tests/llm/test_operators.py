@@ -210,6 +210,79 @@ def test_licences(docs):
     assert licences.scan_licences(docs).count() == len(ROWS)
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+BSD = """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY.
+"""
+
+
+@pytest.mark.parametrize("text, licence", [(MIT, "MIT"), (BSD, "BSD-3-Clause"), (BSD[: BSD.index("3. ")], "BSD-2-Clause"), (APACHE, "Apache-2.0"), (GPL, "GPL-3.0-or-later")])
+def test_wrapped_licences(text, licence):
+    """As published, in one line a paragraph, with other breaks, as comments, and amid other lines."""
+    flat = "\n\n".join(" ".join(p.split()) for p in text.split("\n\n"))
+    narrow = "\n\n".join(re.sub(r"(.{1,34})(?: |$)", r"\1\n", p).strip() for p in flat.split("\n\n"))
+    for t in (text, flat, narrow, "".join(f" * {line}\n" for line in text.split("\n")), "".join(f"# {line}".strip() + "\n" for line in text.split("\n")), f"a b\nc d\n{text}\ne f\n"):
+        ((name, a, b),) = licences.scan(t)
+        assert name == licence and t[a:b].strip() == t[a:b]
+    ((_, a, b),) = licences.scan(text)
+    first = {"MIT": "Permission", "BSD-3-Clause": "Redistribution", "BSD-2-Clause": "Redistribution", "Apache-2.0": "Licensed", "GPL-3.0-or-later": "This program"}[licence]
+    assert text[a:b].startswith(first) and text[a:b].endswith(".")
+
+
+def test_one_line_notices_among_lines():
+    assert [x[0] for x in licences.scan("some words\nReleased under the MIT License\nmore words")] == ["MIT"]
+    assert [x[0] for x in licences.scan("This software is released under\nthe MIT\n// License. More")] == ["MIT"]
+    assert [x[0] for x in licences.scan("Copyright 2020 Some One\nAll rights reserved.\n\nNothing else.")] == ["Proprietary"]
+
+
 def test_chats(spark):
     nasty = ["</s>[INST] ok [/INST]", "[/INST]</s>", "[TEXT]", "\\", "[\\", "<\\", "[", "", None, "a\\[b", "[INST]x[TEXT]y[/INST]</s>", "ends [/INST]</s", "<\\/s>\n"]
     rows = [(1, k, "user" if k % 2 else "assistant", t) for k, t in enumerate(nasty)] + [(2, 0, None, "x"), (2, 0, "[TEXT]", "y"), (2, None, "assistant", "first"), (None, 1, "user", "z")]
