@@ -56,7 +56,8 @@ RULES = (
 )
 GAP = 2
 HEAD = ("copyright", "all-rights")
-WORDS_OF_INTEREST = re.compile(r"licen[sc]e|rights reserved|redistribut|permission|warrant|copyright|\(c\)|©|cc0|either version|endorse", re.IGNORECASE)
+#: Every pattern implies one of these, on whatever lines its words stand.
+WORDS_OF_INTEREST = re.compile(r"licen[sc]|reserved|redistribut|permission|warrant|copyright|\(c\)|©|cc0|\bcc\b|creative|domain|endorse", re.IGNORECASE)
 #: A full stop ends a sentence, but not in `v. 2.0` nor after a list's number.
 END = re.compile(r"(?:(?<!\bv)\.|(?<=\bv)\.(?!\s*\d)|[!?])(?=\s|$)|;(?=\s)|\n", re.IGNORECASE)
 NUMBER = re.compile(r"[\s#*/;>%\-]*\d{1,2}\.")
@@ -178,7 +179,7 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the id, licences (distinct names in order), spans (name, start, stop in code points) and n_sentences known.
+    """Per row: the id, licences (distinct names in order), spans (name, start, stop in code points) and n_sentences known, in a licence or not.
 
     Null and empty texts have none. Repeated rows and null ids pass through, other columns are ignored, an empty table
     gives an empty table.
@@ -191,7 +192,7 @@ def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         return {
             "licences": pa.array([list(dict.fromkeys(x[0] for x in f)) for f in found], pa.list_(pa.string())),
             "spans": pa.array([[dict(zip(("licence", "start", "stop"), x, strict=True)) for x in f] for f in found], pa.list_(span)),
-            "n_sentences": [len(k) if f else 0 for k, f in zip(known, found, strict=True)],
+            "n_sentences": [len(k) for k in known],
         }
 
     return map_texts(docs, run, "licences array<string>, spans array<struct<licence:string,start:int,stop:int>>, n_sentences long", (doc_id,), text)

@@ -283,6 +283,32 @@ def test_one_line_notices_among_lines():
     assert [x[0] for x in licences.scan("Copyright 2020 Some One\nAll rights reserved.\n\nNothing else.")] == ["Proprietary"]
 
 
+#: For every pattern a text that it accepts and the licences of that text alone.
+KNOWN = {
+    "mit-name": ("Available under the MIT License", ["MIT"]), "mit-grant": (MIT.split("\n\n")[2], []), "mit-notice": (MIT.split("\n\n")[3], []), "mit-warranty": (MIT.split("\n\n")[4], []),
+    "apache-2-name": ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]), "apache-2-comply": ("You may not use this file except in compliance with the License.", []),
+    "gpl-name-version": ("Released under GNU General Public License v2 or later.", ["GPL-2.0"]), "gpl-free": (GPL.replace("either version 3", "any version"), ["GPL"]), "gpl-version": ("Use either version 2 of the License, or (at your option) any later version.", []),
+    "lgpl-name": ("This library is licensed under the GNU Lesser General Public License.", ["LGPL"]),
+    "bsd-redistribute": (BSD.split("\n\n")[1], []), "bsd-source": (BSD.split("\n\n")[2], []), "bsd-binary": (BSD.split("\n\n")[3], []), "bsd-endorse": (BSD.split("\n\n")[4], []),
+    "cc-name": ("Released under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]), "cc0-name": ("This work is dedicated to the public domain.", ["CC0-1.0"]),
+    "mpl-name": ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", ["MPL-2.0"]), "all-rights": ("All rights\nreserved.", ["Proprietary"]), "copyright": ("(c) 2020 Some One", []),
+}
+
+
+@pytest.mark.parametrize("name", sorted(licences.SENTENCES))
+def test_every_licence_sentence_is_known(name):
+    text, found = KNOWN[name]
+    for t in (text, text.upper(), f"Some words.\n{text}\nmore"):
+        assert name in [x[3] for x in licences.known_sentences(t)]
+        assert [x[0] for x in licences.scan(t)] == found
+
+
+def test_known_sentences_count_without_a_licence(spark):
+    rows = [(1, MIT.split("\n\n")[4]), (2, "Nothing. Of interest."), (3, None)]
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i].n_sentences, got[i].licences) for i in (1, 2, 3)] == [(1, []), (0, []), (0, [])]
+
+
 def test_chats(spark):
     nasty = ["</s>[INST] ok [/INST]", "[/INST]</s>", "[TEXT]", "\\", "[\\", "<\\", "[", "", None, "a\\[b", "[INST]x[TEXT]y[/INST]</s>", "ends [/INST]</s", "<\\/s>\n"]
     rows = [(1, k, "user" if k % 2 else "assistant", t) for k, t in enumerate(nasty)] + [(2, 0, None, "x"), (2, 0, "[TEXT]", "y"), (2, None, "assistant", "first"), (None, 1, "user", "z")]
