@@ -24,8 +24,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays."""
-    return near_dedup.drop_near_copies(docs)
+    """One document of each component of near-duplicates, from the similarity of stages on, stays."""
+    return near_dedup.drop_near_copies(docs, percent=near_dedup.STAGE_PERCENT)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

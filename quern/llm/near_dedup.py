@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,16 +23,34 @@ from quern.llm.common import bound_batches, map_texts, materialise, read
 from quern.llm.components import components
 from quern.llm.words import GOLD, M1, PLACES, U, Words, constants, mix
 
-WORDS, PERCENT = 5, 85
-#: 32 bands of 6 minima miss a pair at 85 % with probability 3e-7.
-BANDS, ROWS = 32, 6
-#: One byte of 128 minima; at 85 % an estimate below 70 % has probability 1e-6.
+#: Similarity of near-duplicates: PERCENT is the contract of op8, STAGE_PERCENT that of stages of a pipeline.
+WORDS, PERCENT, STAGE_PERCENT = 5, 85, 80
+#: Most minima of a signature, and the probability with which the bands may miss a pair at the limit.
+MINIMA, MISS = 192, 3e-7
+#: One byte of 128 minima; the cut below which pairs are not looked at lies so many deviations under the limit: 70 % for 85 %.
 SKETCH, LOOK_FROM = 128, 0.70
+DEVIATIONS = (PERCENT / 100 - LOOK_FROM) / math.sqrt(0.85 * 0.15)
 #: Documents of a block; a task compares at most two blocks.
 BLOCK = 256
 
-FACTORS = constants("factor", BANDS * ROWS) | U(1)
-SHIFTS = constants("shift", BANDS * ROWS)
+FACTORS = constants("factor", MINIMA) | U(1)
+SHIFTS = constants("shift", MINIMA)
+
+
+def bands_for(percent: int) -> tuple[int, int]:
+    """Bands and minima in each: the most selective that miss a pair at the limit with probability MISS at most (85 %: 32 of 6, 80 %: 38 of 5)."""
+    for rows in range(MINIMA, 0, -1):
+        together = (percent / 100) ** rows
+        bands = 1 if together == 1 else math.ceil(math.log(MISS) / math.log1p(-together))
+        if bands * rows <= MINIMA:
+            return bands, rows
+    raise ValueError(f"{MINIMA} minima are too few for {percent} %")
+
+
+def look_from(percent: int) -> float:
+    """Share of equal bytes of the sketches from which full sets are compared."""
+    share = percent / 100
+    return share - DEVIATIONS * math.sqrt(share * (1 - share))
 
 
 def shingles(texts: list[str | None]) -> list[np.ndarray]:
@@ -47,32 +67,33 @@ def shingles(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], minima: int = MINIMA) -> np.ndarray:
     """Minima of (a * x + b) mod 2**64, upper halves, for every set that is not empty."""
     sizes = np.array([len(s) for s in sets])
     x = np.concatenate(sets)
     at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    got = np.empty((BANDS * ROWS, len(sets)), np.uint32)
+    got = np.empty((minima, len(sets)), np.uint32)
     step = np.empty_like(x)
-    for k in range(BANDS * ROWS):
+    for k in range(minima):
         np.multiply(x, FACTORS[k], out=step)
         np.add(step, SHIFTS[k], out=step)
         got[k] = np.minimum.reduceat(step, at) >> U(32)
     return got.T
 
 
-def describe(texts: list) -> dict[str, list]:
+def describe(texts: list, percent: int = PERCENT) -> dict[str, list]:
+    n_bands, n_rows = bands_for(percent)
     sets = shingles(texts)
     some = [i for i, s in enumerate(sets) if len(s)]
     key: list = [None] * len(texts)
     bands: list = [None] * len(texts)
     sketch: list = [None] * len(texts)
     if some:
-        rows = signatures([sets[i] for i in some])
-        band = np.zeros((len(some), BANDS), U)
-        for r in range(ROWS):
-            band = mix(band + GOLD + rows[:, r::ROWS][:, :BANDS].astype(U))
-        band = mix(band ^ (np.arange(BANDS).astype(U) * GOLD)).view(np.int64)
+        rows = signatures([sets[i] for i in some], max(n_bands * n_rows, SKETCH))
+        band = np.zeros((len(some), n_bands), U)
+        for r in range(n_rows):
+            band = mix(band + GOLD + rows[:, r::n_rows][:, :n_bands].astype(U))
+        band = mix(band ^ (np.arange(n_bands).astype(U) * GOLD)).view(np.int64)
         low = (rows[:, :SKETCH] & 255).astype(np.uint8)
         for n, i in enumerate(some):
             s = sets[i]
@@ -81,12 +102,12 @@ def describe(texts: list) -> dict[str, list]:
     return {"n_shingles": [len(s) for s in sets], "key": pa.array(key, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())}
 
 
-def linked(a: set, b: set) -> bool:
+def linked(a: set, b: set, percent: int = PERCENT) -> bool:
     shared = len(a & b)
-    return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def links_of(block: pd.DataFrame) -> pd.DataFrame:
+def links_of(block: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     """A spanning forest of the links among a block's documents, or between its two halves."""
     block = block.sort_values("id", kind="stable").reset_index(drop=True)
     ids, n = block["id"].tolist(), len(block)
@@ -94,7 +115,7 @@ def links_of(block: pd.DataFrame) -> pd.DataFrame:
     two = block["low"].iloc[0] != block["high"].iloc[0]
     sketches = np.frombuffer(b"".join(block["sketch"]), np.uint8).reshape(n, SKETCH)
     sizes = block["n_shingles"].to_numpy()
-    root = list(range(n))
+    root, least = list(range(n)), look_from(percent)
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -110,20 +131,21 @@ def links_of(block: pd.DataFrame) -> pd.DataFrame:
         return sets[i]
 
     for i in range(n - 1):
-        near = (sketches[i + 1 :] == sketches[i]).mean(1) >= LOOK_FROM
-        near &= 100 * np.minimum(sizes[i + 1 :], sizes[i]) >= PERCENT * np.maximum(sizes[i + 1 :], sizes[i])
+        near = (sketches[i + 1 :] == sketches[i]).mean(1) >= least
+        near &= 100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i])
         if two:
             near &= side[i + 1 :] != side[i]
         for j in (np.flatnonzero(near) + i + 1).tolist():
             a, b = find(i), find(j)
-            if a != b and linked(set_of(i), set_of(j)):
+            if a != b and linked(set_of(i), set_of(j), percent):
                 root[max(a, b)] = min(a, b)
     got = [(ids[i], ids[find(i)]) for i in range(n) if find(i) != i]
     return pd.DataFrame({"cluster": [block["cluster"].iloc[0]] * len(got), "high": [h for h, _ in got], "low": [w for _, w in got]}).astype("int64")
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text", percent: int = STAGE_PERCENT) -> DataFrame:
     """One row per row of docs: the id, n_shingles, component_id (least id reachable) and kept (the id is that one).
+    percent is the similarity from which two texts are near.
 
     Null and empty texts and texts without words have no shingles and no links. Rows with one id share the least
     component of their texts, so repeated rows share their result. Rows with a null id are not linked; they stay, with a null component. Other
@@ -132,7 +154,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, doc_id: str = "doc_id",
     spark = docs.sparkSession
     bound_batches(spark)
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    facts = materialise(map_texts(plain, describe, "n_shingles long, key binary, bands array<long>, sketch binary", ("id",)), "shingle-facts")
+    facts = materialise(map_texts(plain, lambda texts: describe(texts, percent), "n_shingles long, key binary, bands array<long>, sketch binary", ("id",)), "shingle-facts")
     known = facts.filter("id IS NOT NULL AND key IS NOT NULL")
     best = known.groupBy("key").agg(F.min(F.struct("id", "n_shingles", "bands", "sketch")).alias("best"))
     classes = materialise(best.select("key", "best.*"), "shingle-classes")
@@ -147,7 +169,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, doc_id: str = "doc_id",
     member = member.select("id", F.col("component").alias("cluster"), "blocks", "n_shingles", "sketch", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.col("own").alias("side"))
     texts = plain.filter("id IS NOT NULL").join(classes.select("id", F.col("key").alias("class_key")).join(clusters.select("id"), "id", "left_semi"), "id")
     work = texts.join(member, "id")
-    links = materialise(work.groupBy("cluster", "low", "high").applyInPandas(links_of, "cluster long, high long, low long"), "links")
+    links = materialise(work.groupBy("cluster", "low", "high").applyInPandas(lambda block: links_of(block, percent), "cluster long, high long, low long"), "links")
     wide = clusters.join(sizes.filter("blocks > 1"), "component", "left_semi").select(F.col("component").alias("cluster")).distinct()
     inside = links.join(wide, "cluster", "left_anti").select(F.col("high").alias("id"), F.col("low").alias("component"))
     across = components(links.join(wide, "cluster", "left_semi").select("high", "low"))
@@ -160,13 +182,11 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, doc_id: str = "doc_id",
     return out.select(F.col("id").cast(docs.schema[doc_id].dataType).alias(doc_id), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = STAGE_PERCENT) -> DataFrame:
     """docs with one document of each component, columns as they are."""
-    gone = near_duplicates(docs, doc_id=doc_id, text=text).filter("NOT kept").select(F.col(doc_id).alias("gone")).distinct()
+    gone = near_duplicates(docs, doc_id=doc_id, text=text, percent=percent).filter("NOT kept").select(F.col(doc_id).alias("gone")).distinct()
     return docs.join(gone, docs[doc_id] == F.col("gone"), "left_anti")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
-
-
+    return near_duplicates(read(spark, sf_dir, "documents"), percent=PERCENT)

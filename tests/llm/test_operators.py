@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -119,6 +120,32 @@ def test_near_dedup(spark, docs, block):
     assert near_dedup.drop_near_copies(more, text="text").columns == ["doc_id", "text"]
 
 
+def test_near_dedup_between_the_limits(spark):
+    """Pairs at 0.80 to 0.85 are one in the pipeline's stage and two in op8; a pair below 0.80 is two in both."""
+    import corpus_pipeline
+
+    rows = []
+    for n in range(48, 68):  # one other word in the middle: (n - 9) / (n + 1) of the shingles are shared
+        words = [f"p{n}w{k}" for k in range(n)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join([*words[:20], "other", *words[21:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = lambda percent: {2 * n + 1 for n in range(48, 68) if 100 * (n - 9) >= percent * (n + 1)}
+    ids = {i for i, _ in rows}
+    assert len(near(80)) == 19 and len(near(85)) == 2
+    assert {r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, DATA).collect()} == ids - near(80)
+    assert {r.doc_id for r in near_dedup.near_duplicates(docs, percent=85).filter("kept").collect()} == ids - near(85)
+    assert {r.doc_id for r in near_dedup.near_duplicates(docs).filter("kept").collect()} == ids - near(80)
+
+
+def test_near_dedup_filters_follow_the_limit():
+    assert near_dedup.bands_for(85) == (32, 6) and abs(near_dedup.look_from(85) - 0.70) < 1e-12
+    for percent in (50, 70, 80, 85, 90, 100):
+        bands, rows = near_dedup.bands_for(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= near_dedup.MISS and bands * rows <= near_dedup.MINIMA
+    least = near_dedup.look_from(80) * near_dedup.SKETCH
+    assert sum(math.comb(128, k) * 0.8**k * 0.2 ** (128 - k) for k in range(math.ceil(least))) < 1e-5
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(0, 40)] + [(100, 7), (201, 200), (202, 201), (202, 200)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "high long, low long")).collect()}
