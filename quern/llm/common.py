@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import os
 import pathlib
 import tempfile
@@ -11,11 +12,13 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Most characters and texts that one numpy step over an Arrow batch takes in, so that memory does not follow the input.
 STEP_CHARS, STEP_TEXTS = 1 << 19, 256
+#: Most groups that a sample to learn from may have.
+GROUPS = 256
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -140,15 +143,26 @@ def filter_texts(df: DataFrame, keeps: Callable[[list], list[bool]], text: str =
     return df.mapInArrow(run, df.schema)
 
 
-def share_sample(rows: DataFrame, group: str, key: str, each: int, most: int, longest: int, text: str = "text") -> list[tuple]:
+def share_sample(rows: DataFrame, group: str, key: str, each: int, most: int, longest: int, text: str = "text", groups: int = GROUPS) -> list[tuple]:
     """(group, text) of about `each` rows of every group, taken by a hash of their key; at most `most` rows in all.
 
+    With many groups each gives fewer, so that all of them fit into `most` together; of a group with fewer rows all are taken.
+    More than `groups` groups are an error, as none is left out in silence.
+
     Texts of over `longest` characters are left out of the sample, so the driver holds at most most * longest characters.
     """
     fit = rows.filter(F.col(group).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= longest))
-    counts = {r[0]: r[1] for r in fit.groupBy(group).count().orderBy(F.desc("count"), group).limit(64).collect()}
+    counts = {r[0]: r[1] for r in fit.groupBy(group).count().limit(groups + 1).collect()}
     if not counts:
         return []
+    if len(counts) > groups:
+        raise ValueError(f"{group} has more than {groups} values to learn; raise groups, and most with it")
+    room = most - 6 * math.sqrt(most)  # hashes take some rows more or less
+    each = min(each, room / len(counts))
     share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, each / n))])[F.col(group)]
     taken = fit.filter(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 20)) < share * (1 << 20))
-    return sorted((tuple(r) for r in taken.select(group, text).limit(most).collect()), key=lambda r: (str(r[0]), r[1]))
+    rows_taken = taken.select(group, text).limit(most + 1).collect()
+    if len(rows_taken) > most:  # many rows share a key, and the hash takes all of them
+        place = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.col(text)), text))
+        rows_taken = taken.withColumn("place", place).filter(F.col("place") <= each).select(group, text).collect()
+    return sorted((tuple(r) for r in rows_taken), key=lambda r: (str(r[0]), r[1]))

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import filter_texts, learn_split, map_texts, read, share_sample
+from quern.llm.common import GROUPS, filter_texts, learn_split, map_texts, read, share_sample
 from quern.llm.tokens import E as LAST_LETTER
 from quern.llm.tokens import class_table
 
@@ -115,9 +115,12 @@ def fit(rows: list[tuple[str, str]], margin: float = 0.2, rounds: int = 150) ->
     return LanguageModel(languages, codes, w, b, np.maximum(2 * right - 1, 0.05), margin)
 
 
-def learn(docs: DataFrame, each: int = EACH, most: int = MOST, longest: int = LONGEST) -> LanguageModel:
-    """From a bounded sample of the rows that may be learnt from; rows without a language or text are left out."""
-    return fit(share_sample(docs.select("doc_id", "lang", "text").filter(learn_split(F.col("doc_id"))), "lang", "doc_id", each, most, longest))
+def learn(docs: DataFrame, each: int = EACH, most: int = MOST, longest: int = LONGEST, groups: int = GROUPS) -> LanguageModel:
+    """From a bounded sample of the rows that may be learnt from; rows without a language or text are left out.
+
+    All languages share the sample; more than `groups` of them are an error.
+    """
+    return fit(share_sample(docs.select("doc_id", "lang", "text").filter(learn_split(F.col("doc_id"))), "lang", "doc_id", each, most, longest, groups=groups))
 
 
 def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
