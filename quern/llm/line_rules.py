@@ -17,8 +17,8 @@ from quern.llm.common import map_texts, materialise, read
 from quern.llm.words import Words
 
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
-#: A line is boilerplate in more than LINE_DOCS documents of its host that are also more than LINE_SHARE of them.
-LINE_DOCS, LINE_SHARE = 20, 0.01
+#: A line is boilerplate in more than LINE_DOCS documents of its host, however many the host has.
+LINE_DOCS = 20
 #: A document is depleted when fewer than MIN_WORDS words are left, or less than this share.
 LEFT_SHARE = 0.3
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -80,7 +80,7 @@ def measure(texts: list) -> dict[str, list]:
 MEASURED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, same long, lines array<struct<h:bigint,words:bigint>>"
 
 
-def line_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+def line_rules(docs: DataFrame, line_docs: int = LINE_DOCS, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """One row per row of docs: the id, the measures, base_failed, removed_words and kept.
 
     Null and empty texts have no words and fail. Rows with a null host share one. Repeated rows count as one document
@@ -89,9 +89,8 @@ def line_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float =
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\x00none")).alias("host"), F.col(text).alias("text"))
     facts = materialise(map_texts(plain, measure, MEASURED, ("doc_id", "host")).withColumn("row", F.monotonically_increasing_id()), "line-facts")
     lines = facts.select("row", "host", "same", F.inline("lines")).withColumn("line", F.xxhash64("host", "h"))
-    hosts = facts.groupBy("host", "same").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
-    spread = lines.groupBy("line", "same").agg(F.first("host").alias("host")).groupBy("line").agg(F.count("*").alias("line_docs"), F.first("host").alias("host"))
-    common = spread.filter(F.col("line_docs") > line_docs).join(hosts, "host").filter(F.col("line_docs") > line_share * F.col("host_docs")).select("line")
+    spread = lines.groupBy("line", "same").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("line_docs"))
+    common = spread.filter(F.col("line_docs") > line_docs).select("line")
     removed = lines.select("row", "line", "words").join(common, "line", "left_semi").groupBy("row").agg(F.sum("words").alias("removed_words"))
     out = facts.drop("lines").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
