@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Most characters and texts that one numpy step over an Arrow batch takes in, so that memory does not follow the input.
 STEP_CHARS, STEP_TEXTS = 1 << 19, 256
+#: Most characters of a step that takes distinct runs out of its texts: the more, the oftener each run serves.
+STEP_RUNS = 1 << 22
 #: Most groups that a sample to learn from may have.
 GROUPS = 256
 
@@ -28,7 +30,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def bound_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches small, as long texts must not meet by the ten thousand in one Python worker, and sends them this package."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     except Exception as e:  # the setting is newer than the oldest Spark that is supported
@@ -88,11 +90,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def slices(lengths: list[int], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of at most STEP_TEXTS neighbouring texts of at most `most` characters together; a longer text stands alone."""
+def slices(lengths: list[int], most: int = STEP_CHARS, most_texts: int = STEP_TEXTS) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `most_texts` neighbouring texts of at most `most` characters together; a longer text stands alone."""
     at = total = 0
     for i, n in enumerate(lengths):
-        if i > at and (total + n > most or i - at >= STEP_TEXTS):
+        if i > at and (total + n > most or i - at >= most_texts):
             yield at, i
             at, total = i, 0
         total += n
@@ -100,8 +102,10 @@ def slices(lengths: list[int], most: int = STEP_CHARS) -> Iterator[tuple[int, in
         yield at, len(lengths)
 
 
-def map_texts(df: DataFrame, function: Callable[[list], dict[str, list]], schema: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Adds what function makes of each slice of texts (None: null) to the kept columns, one row for one row."""
+def map_texts(df: DataFrame, function: Callable[[list], dict[str, list]], schema: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", most: int = STEP_CHARS) -> DataFrame:
+    """Adds what function makes of each slice of texts (None: null) to the kept columns, one row for one row.
+
+    A slice has at most `most` characters, and STEP_TEXTS texts unless most is larger than usual."""
     bound_batches(df.sparkSession)
     kept = [df.schema[c] for c in keep]
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [schema])
@@ -109,7 +113,7 @@ def map_texts(df: DataFrame, function: Callable[[list], dict[str, list]], schema
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts]):
+            for a, b in slices([len(t or "") for t in texts], most, STEP_TEXTS if most == STEP_CHARS else len(texts)):
                 made = function(texts[a:b])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()], names=list(keep) + list(made))

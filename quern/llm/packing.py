@@ -9,7 +9,6 @@ leaves are placed by best fit. Back on the cluster, every piece's rank within it
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,29 +18,66 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from quern.llm.bpe_stream import WordCodec
-from quern.llm.common import bound_batches, materialise, package_path, read, slices
+from quern.llm.bpe import Recent
+from quern.llm.common import STEP_RUNS, bound_batches, materialise, package_path, read, slices
+from quern.llm.words import Runs
 
 SEQUENCE, BLOCK, GRAIN, END_ID = 2048, 128, 4, 1
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, class int, task int, at long"
 
 
-class BytesCodec(WordCodec):
-    """Keeps the ids of a run as little-endian unsigned 32-bit bytes."""
-
-    nothing = b""
-
-    def word(self, word: str) -> bytes:
-        return struct.pack(f"<{len(ids := super().word(word))}I", *ids)
-
-    def special_value(self, i: int) -> bytes:
-        return struct.pack("<I", i)
+class LibraryIds:
+    """Ids of runs as little-endian unsigned 32-bit bytes. The library takes many runs in one call, with a mark of its own
+    id between two; a bounded table holds those that came first."""
+
+    MARK, CALL = "\0", 20_000
+
+    def __init__(self, path: str, kept_runs: int = 700_000):
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.mark = self.of(self.MARK)
+        if len(self.mark) != 1:
+            raise ValueError(f"{path} has no single token for the mark")
+        self.seen = Recent(kept_runs)
+
+    def of(self, run: str) -> list[int]:
+        return self.library.encode(run, add_special_tokens=False).ids
+
+    def make(self, runs: list[str]) -> list[bytes]:
+        got = [b""] * len(runs)
+        plain = []
+        for i, run in enumerate(runs):
+            if self.MARK in run or ("<" in run and any(s in run for s in self.special)):
+                got[i] = np.array(self.of(run), "<u4").tobytes()
+            else:
+                plain.append(i)
+        for at in range(0, len(plain), self.CALL):
+            some = plain[at : at + self.CALL]
+            joined = f" {self.MARK} ".join([runs[i] for i in some])
+            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark[0]).tolist()
+            if len(cuts) != len(some) - 1:
+                raise ValueError("the library does not keep runs apart")
+            data, start = ids.tobytes(), 0
+            for i, cut in zip(some, [*cuts, len(ids)], strict=True):
+                got[i] = data[4 * start : 4 * cut]
+                start = cut + 1
+        return got
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        runs = Runs(texts)
+        data, offsets = runs.spread(self.seen.all(runs.distinct, self.make))
+        edge = offsets[runs.first].tolist()
+        return [bytes(data[a:b]) for a, b in zip(edge, edge[1:])]
 
 
 @lru_cache(maxsize=2)
-def codec_of(path: str) -> BytesCodec:
-    return BytesCodec(path)
+def ids_of(path: str) -> LibraryIds:
+    return LibraryIds(path)
 
 
 def cuts(n: int, sequence: int, block: int) -> list[tuple[int, int]]:
@@ -57,14 +93,14 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int, block: int, grain: in
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, task = codec_of(package_path(tokenizer)), TaskContext.get().partitionId()
+        codec, task = ids_of(package_path(tokenizer)), TaskContext.get().partitionId()
         count = [0] * (sequence // grain + 1)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts]):
+            for a, b in slices([len(t or "") for t in texts], STEP_RUNS, len(texts)):
                 rows, of = [], []
-                for i in range(a, b):
-                    data = b"".join(codec.values(texts[i])) + end
+                for i, data in enumerate(codec.texts(texts[a:b]), a):
+                    data += end
                     n = len(data) // 4
                     for start, stop in cuts(n, sequence, block):
                         part = data[4 * start : 4 * stop]

@@ -1,10 +1,13 @@
-"""64-bit hashes of the words of many texts at once. Words are runs of other than the six ASCII blanks."""
+"""Words of many texts at once: their 64-bit hashes, with the six ASCII blanks around them, and their distinct forms,
+with all white space around them."""
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 GOLD, M1, M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -63,3 +66,31 @@ class Words:
         """How many bytes of each text are marked."""
         total = np.concatenate([[0], np.cumsum(marks)])
         return total[self.edge[1:] - 1] - total[self.edge[:-1]]
+
+
+#: White space beyond ASCII in UTF-8: the characters of the White_Space property.
+WIDE_SPACES = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
+class Runs:
+    """Runs without white space: distinct (each once), which (of them stands at each place), and first[i] to first[i + 1]
+    are the places of text i. Only the distinct ones become Python strings."""
+
+    def __init__(self, texts: list[str | None]):
+        data = [(t or "").encode() for t in texts]
+        data = [d if d.isascii() else WIDE_SPACES.sub(b" ", d) for d in data]
+        b = np.frombuffer(b" " + b" ".join(data) + b" ", np.uint8)
+        blank = (b == 32) | ((b >= 9) & (b <= 13))
+        starts = np.flatnonzero(~blank[1:] & blank[:-1]) + 1
+        ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+        edge = np.cumsum([1] + [len(d) + 1 for d in data])
+        self.first = np.searchsorted(starts, edge)
+        offsets = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(ends - starts, out=offsets[1:])
+        coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(b[~blank])).dictionary_encode()
+        self.distinct, self.which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices
+
+    def spread(self, values: list[bytes]) -> tuple[memoryview, np.ndarray]:
+        """The values of all runs one after another, from one value for each distinct run; where each begins, and the end."""
+        laid = pa.array(values, pa.large_binary()).take(self.which)
+        return memoryview(laid.buffers()[2] or b""), np.frombuffer(laid.buffers()[1], np.int64)[: len(laid) + 1] if len(laid) else np.zeros(1, np.int64)
