@@ -11,6 +11,7 @@ from __future__ import annotations
 import gc
 import json
 from bisect import bisect_left
+from collections.abc import Callable
 from functools import lru_cache
 
 END = 256  # added to a byte's symbol when it ends a word
@@ -71,6 +72,7 @@ class MergeTable:
         leaf: dict[int, int] = {}
         self.children = [c or leaf for c in self.children]  # most nodes are leaves
         self._fits: dict[int, bool] = {}
+        self._lookahead: int | None = None
 
     def neighbours(self, a: int, b: int) -> bool:
         """Whether the merges leave the cut between a and b standing.
@@ -101,6 +103,12 @@ class MergeTable:
         self._fits[a << 20 | b] = fits
         return fits
 
+    def lookahead(self) -> int:
+        """sufficient_lookahead(), found once."""
+        if self._lookahead is None:
+            self._lookahead = self.sufficient_lookahead()
+        return self._lookahead
+
     def sufficient_lookahead(self) -> int:
         """Symbols past a token's end after which no later text can change it, from the merge list alone.
 
@@ -141,6 +149,7 @@ class Transducer:
     def __init__(self, table: MergeTable, counting: bool, most: int = 250_000):
         self.table, self.counting, self.most = table, counting, most
         self.zero = 0 if counting else ()
+        self.bound = table.lookahead()
         self.clear()
 
     def clear(self) -> None:
@@ -190,6 +199,8 @@ class Transducer:
             state = tuple([self._path(node, before, rest[len(shared) :]) for node, before, rest in alive])
         to = self.index.get(state)
         if to is None:
+            if max([rest if self.counting else len(rest) for _, _, rest in alive]) - (shared if self.counting else len(shared)) > self.bound:
+                raise RuntimeError("more is held back than the merge list allows")
             to = self.index[state] = len(self.states)
             self.states.append(state)
         made = self.moves[s << 9 | x] = to << 24 | self._number(shared)
@@ -249,6 +260,22 @@ class Recent:
             self.spare = {}
         self.spare[key] = value
 
+    def all(self, keys: list, make: Callable[[list], list]) -> list:
+        """The values of distinct keys; make gives those that are not held, all at once."""
+        got = list(map(self.new.get, keys))
+        if None not in got:
+            return got
+        lacking = []
+        for i, v in enumerate(got):
+            if v is None:
+                v = got[i] = self.spare.get(keys[i])
+                if v is None:
+                    lacking.append(i)
+        for i, v in zip(lacking, make([keys[i] for i in lacking]), strict=True):
+            got[i] = v
+            self.keep(keys[i], v)
+        return got
+
 
 @lru_cache(maxsize=4)
 def table(path: str) -> MergeTable:

@@ -1,5 +1,6 @@
 """The compiled tokenizers against the library, over made-up and random texts."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -36,27 +37,47 @@ def codec():
 
 def test_streaming_in_pieces_holds_little(libraries):
     rng = random.Random(4)
-    bound = bpe.table(WORDS).sufficient_lookahead()
-    for _ in range(60):
-        text = "".join(rng.choice([p for p in PARTS if "<" not in p and p != "Ᲊ"]) for _ in range(rng.randint(0, 40)))
-        encoder, out, i = bpe_stream.StreamingEncoder(codec()), [], 0
+    for n in range(200):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 60)))
+        encoder, out, i = bpe_stream.StreamingEncoder(codec(), hold=rng.choice([0, 3, 8, 4096])), [], 0
         while i < len(text):
             n = rng.randint(1, 5)
             out += encoder.feed(text[i : i + n])
+            assert len(encoder.open) <= encoder.hold + 5
             i += n
         out += encoder.finish()
         assert out == libraries[1].encode(text, add_special_tokens=False).ids
-        assert encoder.held_most <= bound
+
+
+def test_side_by_side_in_pieces(libraries):
+    """The query's path: rounds of pieces over many texts, with runs that stay open over several of them."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 60))) for _ in range(150)] + [None, "", " ", "x" * 300]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = [libraries[1].encode(t or "", add_special_tokens=False).ids for t in texts]
+    for piece, hold in ((1 << 16, 1 << 12), (7, 5), (20, 10), (3, 0)):
+        n, ids, decoded = bpe_stream.digests(WORDS).digests(texts, piece, hold)
+        assert n == [len(w) for w in want]
+        assert ids == [sha(" ".join(map(str, w))) for w in want]
+        assert decoded == [sha(libraries[1].decode(w, skip_special_tokens=False)) for w in want]
 
 
 def test_a_word_of_any_length_is_held_back_no_longer_than_the_lookahead(libraries):
     word = "".join(random.Random(1).choice("aeiouthnrs") for _ in range(20_000))
-    encoder = bpe_stream.StreamingEncoder(codec())
+    encoder = bpe_stream.SymbolEncoder(codec())
     out = encoder.feed(word) + encoder.finish()
-    assert out == libraries[1].encode(word, add_special_tokens=False).ids
+    assert out == libraries[1].encode(word, add_special_tokens=False).ids == codec().encode(word)
     assert encoder.held_most <= bpe.table(WORDS).sufficient_lookahead()
 
 
+def test_states_that_hold_back_more_than_the_lookahead_are_refused():
+    machine = bpe.Transducer(bpe.table(WORDS), counting=False)
+    machine.bound = 0
+    with pytest.raises(RuntimeError, match="held back"):
+        for word in ("tokenization", "international", "thwheast"):
+            machine.word(word.encode())
+
+
 def test_decoding(libraries):
     text = "Hello, wörld 中 \U0001f600!"
     ids = codec().encode(text)
