@@ -2,9 +2,10 @@
 
 Two machines in a row. The splitter is a dense transducer over character classes that marks where words begin, with
 its one or two characters of lookahead folded into states and delayed marks. The counter is the byte pair transducer
-of `bpe`, whose transitions carry the number of tokens they settle. Texts of a batch form one stream, cut into chunks
-of equal length: every chunk's map from each possible entry state to its exit state is found for all chunks at once,
-the maps are composed by a parallel prefix scan, and with the entry states known all chunks mark words together.
+of `bpe`, whose transitions carry the number of tokens they settle. The texts of a step form one stream, cut into chunks
+of equal length. A chunk is a map: from each state it may be entered in, to the state it is left in and the tokens of
+the words that begin and end within it. Maps are made for all chunks at once and composed by a parallel prefix scan,
+counts along with states; the words that cross from one chunk to the next are added when the entry states are known.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import bpe
-from quern.llm.common import map_texts, package_path, read
+from quern.llm.common import STEP_RUNS, map_texts, package_path, read
 
 #: The characters of the White_Space property.
 SPACES = "\t\n\v\f\r \x85\xa0                　"
@@ -82,48 +84,80 @@ def splitter() -> tuple[np.ndarray, np.ndarray]:
     return to, mark
 
 
-def compose(first: np.ndarray, then: np.ndarray) -> np.ndarray:
-    """State maps, one a row: first, then the other."""
-    return np.take_along_axis(then, first.astype(np.intp), axis=1)
+def compose(first: tuple[np.ndarray, np.ndarray], then: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Maps, one a row, from entry states to exit states and counts: first, then the other."""
+    way = first[0].astype(np.intp)
+    return np.take_along_axis(then[0], way, axis=1), first[1] + np.take_along_axis(then[1], way, axis=1)
 
 
-def prefix_scan(maps: np.ndarray) -> np.ndarray:
+def prefix_scan(exits: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row i becomes the composition of rows 0 to i, in about log2(n) rounds over all rows at once."""
-    maps, step = maps.copy(), 1
-    while step < len(maps):
-        maps[step:] = compose(maps[:-step], maps[step:])
+    exits, counts, step = exits.copy(), counts.copy(), 1
+    while step < len(exits):
+        exits[step:], counts[step:] = compose((exits[:-step], counts[:-step]), (exits[step:], counts[step:]))
         step *= 2
-    return maps
-
-
-def word_marks(kinds: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
-    """Where words begin in a stream of classes that ends with CUT; CUT itself is always marked."""
-    to, mark = splitter()
-    n = len(kinds)
-    lanes = np.full((-(-n // chunk), chunk), CUT, np.uint8)
-    lanes.ravel()[:n] = kinds
-    columns = np.ascontiguousarray(lanes.T)
-    flat, flat_mark = to.ravel(), mark.ravel()
-    maps = np.repeat(np.arange(12, dtype=np.uint8)[None], len(lanes), 0)
-    # most entry states soon meet: a map narrows to few values, but all are followed
-    for column in columns:
-        maps = flat[maps * np.uint8(12) + column[:, None]]
-    state = np.zeros(len(lanes), np.uint8)
-    state[1:] = prefix_scan(maps)[:-1, START]
-    marks = np.empty_like(columns)
-    for j, column in enumerate(columns):
-        at = state * np.uint8(12) + column
-        marks[j], state = flat_mark[at], flat[at]
-    marks = np.ascontiguousarray(marks.T).ravel()[:n]
-    begins = (marks & HERE).astype(bool)
-    begins[:-1] |= (marks[1:] & BEFORE).astype(bool)
-    return begins
+    return exits, counts
+
+
+NONE = -2  # a state that no text leads to may mark the place before the stream, -1
+
+
+class Marks:
+    """Where words begin in chunks (rows of classes), for every state that a chunk may be entered in.
+
+    The states soon meet: marks are kept for each state over the first columns, until all chunks have but one state left,
+    and once from there on. head and tail are places in the stream where words begin: head with its row (chunk * 12 +
+    entry state), tail with its chunk; both rise within a row. exits are the states that chunks are left in.
+    """
+
+    def __init__(self, kinds: np.ndarray):
+        to, mark = splitter()
+        flat, flat_mark = to.ravel(), mark.ravel()
+        chunks, length = kinds.shape
+        columns = np.ascontiguousarray(kinds.T)
+        states = np.repeat(np.arange(12, dtype=np.uint8)[None], chunks, 0)
+        heads, j = [], 0
+        while j < length and (states != states[:, :1]).any():
+            at = states * np.uint8(12) + columns[j][:, None]
+            heads.append(flat_mark[at])
+            states = flat[at]
+            j += 1
+        tails, state = np.zeros((length, chunks), np.uint8), states[:, 0]
+        for k in range(j, length):
+            at = state * np.uint8(12) + columns[k]
+            tails[k], state = flat_mark[at], flat[at]
+        self.exits = states if j == length else np.repeat(state[:, None], 12, 1)
+        tails = np.ascontiguousarray(tails.T).ravel()
+        self.tail, self.tail_chunk = self._begins(tails, np.repeat(np.arange(chunks), length), np.arange(chunks * length))
+        heads = np.stack(heads, 2) if heads else np.zeros((chunks, 12, 0), np.uint8)
+        row = np.repeat(np.arange(chunks * 12), heads.shape[2])
+        place = (np.arange(chunks)[:, None, None] * length + np.zeros((1, 12, 1), np.int64) + np.arange(heads.shape[2])).ravel()
+        self.head, self.head_row = self._begins(heads.ravel(), row, place)
+
+    @staticmethod
+    def _begins(marks: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and rows of all begins, from marks at places."""
+        some = np.flatnonzero(marks)
+        m, place, row = marks[some], place[some], row[some]
+        twice = ((m & BEFORE) > 0).astype(np.int64) + ((m & HERE) > 0)
+        at = np.repeat(place - ((m & BEFORE) > 0), twice)
+        second = np.flatnonzero(np.repeat(twice == 2, twice))[1::2]
+        at[second] += 1
+        return at, np.repeat(row, twice)
+
+
+def ends_of(values: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last value of each of n rows, NONE where there is none."""
+    first, last = np.full(n, NONE, np.int64), np.full(n, NONE, np.int64)
+    first[rows[::-1]] = values[::-1]
+    last[rows] = values
+    return first, last
 
 
 class Counter:
     """Counts tokens of whole texts as the library does for a byte-level vocabulary file."""
 
-    def __init__(self, path: str, kept_words: int = 300_000):
+    def __init__(self, path: str, kept_words: int = 600_000):
         self.path = path
         self.table = bpe.table(path)
         self.machine = bpe.Transducer(self.table, counting=True)
@@ -139,14 +173,20 @@ class Counter:
         for c in points.tolist():
             self.kinds[c] = next((k for k, before in ((LETTER, "a"), (NUMBER, "1")) if len(split(before + chr(c))) == 1), OTHER)
 
-    def word(self, word: str) -> int:
-        n = self.seen.find(word)
-        if n is None:
-            n = self.machine.word(word.encode())
-            self.seen.keep(word, n)
-        return n
+    def make(self, words: list[str]) -> list[int]:
+        return [self.machine.word(w.encode()) for w in words]
+
+    def words(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Tokens of the words that lie in data from starts to stops."""
+        sizes = np.maximum(stops - starts, 0)
+        offsets = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=offsets[1:])
+        body = data[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
+        coded = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(body)).dictionary_encode()
+        known = self.seen.all(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.make)
+        return np.array(known, np.int64)[coded.indices.to_numpy()] if known else np.zeros(0, np.int64)
 
-    def counts(self, texts: list[str | None]) -> np.ndarray:
+    def counts(self, texts: list[str | None], chunk: int = CHUNK) -> np.ndarray:
         cut = "\ud800"
         extra = np.zeros(len(texts), np.int64)
         ready = []
@@ -156,24 +196,58 @@ class Counter:
                 if special in t:
                     extra[i] += t.count(special)
                     t = t.replace(special, cut)
-            ready.append(t)
-        stream = cut.join(ready) + cut
-        points = np.frombuffer(stream.encode("utf-32-le", "surrogatepass"), np.uint32)
+            ready.append(t + cut)
+        if not ready:
+            return extra
+        # every text begins a chunk; what is left of its last one is filled with the separator, which is a word of no bytes
+        sizes = np.fromiter(map(len, ready), np.int64, len(ready))
+        last = np.cumsum(-(-sizes // chunk)) - 1
+        points = np.full((last[-1] + 1) * chunk, ord(cut), np.uint32)
+        shift = np.concatenate([[0], last[:-1] + 1]) * chunk - np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        stream = "".join(ready)
+        points[np.repeat(shift, sizes) + np.arange(len(stream))] = np.frombuffer(stream.encode("utf-32-le", "surrogatepass"), np.uint32)
         kinds = self.kinds[points]
         if (kinds == UNKNOWN).any():
             self.settle(np.unique(points[kinds == UNKNOWN]))
             kinds = self.kinds[points]
-        begins = np.flatnonzero(word_marks(kinds))
-        real = kinds[begins] != CUT
-        ends = np.append(begins[1:], len(kinds))
-        word, seen = self.word, self.seen
-        at, to = begins[real], ends[real]
-        counts = np.fromiter((seen.new.get(w) or word(w) for w in (stream[a:b] for a, b in zip(at.tolist(), to.tolist()))), np.int64, len(at))
-        total = np.concatenate([[0], np.cumsum(counts)])
-        lengths = np.fromiter((len(t) + 1 for t in ready), np.int64, len(ready))
-        edge = np.concatenate([[0], np.cumsum(lengths)])
-        cuts = np.searchsorted(at, edge)
-        return total[cuts[1:]] - total[cuts[:-1]] + extra
+        data = np.frombuffer(stream.replace(cut, "").encode(), np.uint8)
+        width = 1 + (points >= 0x80).astype(np.uint8) + (points >= 0x800) + (points >= 0x10000)
+        width[kinds == CUT] = 0
+        byte = np.zeros(len(points) + 1, np.int64)
+        np.cumsum(width, out=byte[1:])
+        exits, counts, first, final = self.maps(kinds.reshape(-1, chunk), data, byte)
+        exits, counts = prefix_scan(exits, counts)
+        row = np.arange(len(exits)) * 12
+        row[1:] += exits[:-1, START]
+        open_at = np.concatenate([[NONE], np.maximum.accumulate(final[row])[:-1]])
+        crossing = np.flatnonzero((open_at != NONE) & (first[row] != NONE))
+        total = counts[:, START].copy()
+        more = np.zeros(len(total), np.int64)
+        more[crossing] = self.words(data, byte[open_at[crossing]], byte[first[row][crossing]])
+        total += np.cumsum(more)
+        return np.diff(total[last], prepend=0) + extra
+
+    def maps(self, kinds: np.ndarray, data: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of every chunk and entry state: the exit state and the count of tokens of the words that begin and end in it, and
+        by row where its first and its last word begin."""
+        chunks = len(kinds)
+        marks = Marks(kinds)
+        tail_first, tail_last = ends_of(marks.tail, marks.tail_chunk, chunks)
+        head_first, head_last = ends_of(marks.head, marks.head_row, chunks * 12)
+        inner = np.flatnonzero(marks.tail_chunk[1:] == marks.tail_chunk[:-1])
+        stops = np.full(len(marks.head), NONE, np.int64)
+        same = np.flatnonzero(marks.head_row[1:] == marks.head_row[:-1])
+        stops[same] = marks.head[same + 1]
+        ends = np.flatnonzero(stops == NONE)
+        stops[ends] = tail_first[marks.head_row[ends] // 12]
+        closed = np.flatnonzero(stops != NONE)
+        n = self.words(data, byte[np.maximum(np.concatenate([marks.tail[inner], marks.head[closed]]), 0)], byte[np.concatenate([marks.tail[inner + 1], stops[closed]])])
+        shared = np.bincount(marks.tail_chunk[inner], n[: len(inner)], chunks)
+        own = np.bincount(marks.head_row[closed], n[len(inner) :], chunks * 12)
+        counts = (own.reshape(chunks, 12) + shared[:, None]).astype(np.int64)
+        first = np.where(head_first != NONE, head_first, np.repeat(tail_first, 12))
+        final = np.where(np.repeat(tail_last, 12) != NONE, np.repeat(tail_last, 12), head_last)
+        return marks.exits, counts, first, final
 
 
 @lru_cache(maxsize=2)
@@ -192,7 +266,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
         n = counter(package_path(tokenizer)).counts(texts)
         return {"n_bytes": [len((t or "").encode()) for t in texts], "n_tokens": n.tolist(), "over_limit": (n > limit).tolist()}
 
-    return map_texts(docs, count, "n_bytes long, n_tokens long, over_limit boolean", (doc_id,), text)
+    return map_texts(docs, count, "n_bytes long, n_tokens long, over_limit boolean", (doc_id,), text, STEP_RUNS // 2)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

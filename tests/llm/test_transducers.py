@@ -94,16 +94,37 @@ def test_tables_that_start_anew_change_nothing():
         assert small.word(word.encode()) == large.word(word.encode())
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 9), max_size=80), st.integers(1, 9))
-def test_chunks_give_what_one_pass_gives(kinds, chunk):
-    stream = np.array([*kinds, tokens.CUT], np.uint8)
-    assert (tokens.word_marks(stream, chunk) == tokens.word_marks(stream, 1000)).all()
+@settings(max_examples=100, deadline=None)
+@given(st.lists(texts, max_size=6), st.integers(1, 9))
+def test_chunk_maps_give_what_one_pass_gives(libraries, some, chunk):
+    """However short the chunks are, so that words cross many of them and states meet late."""
+    want = [len(libraries[0].encode(t, add_special_tokens=False).ids) for t in some]
+    assert tokens.counter(BYTES).counts(some, chunk).tolist() == want == tokens.counter(BYTES).counts(some).tolist()
+
+
+def test_chunks_count_right_from_every_entry_state():
+    """A chunk's map against reading the chunk alone from that state."""
+    counter, chunk = tokens.counter(BYTES), "'re it's  \n x12 ''s"
+    points = np.frombuffer(chunk.encode("utf-32-le"), np.uint32)
+    kinds, byte = counter.kinds[points], np.arange(len(points) + 1)
+    exits, counts, first, final = counter.maps(kinds[None], np.frombuffer(chunk.encode(), np.uint8), byte)
+    to, mark = tokens.splitter()
+    for s in range(12):
+        state, begins = s, []
+        for j, k in enumerate(kinds.tolist()):
+            m, state = mark[state, k], to[state, k]
+            begins += [j - 1] * bool(m & tokens.BEFORE) + [j] * bool(m & tokens.HERE)
+        words = [chunk[max(a, 0) : b] for a, b in zip(begins, begins[1:]) if a >= 0]
+        if begins and begins[0] >= 0:
+            assert (exits[0, s], counts[0, s], first[s], final[s]) == (state, sum(counter.make(words)), begins[0], begins[-1])
+        assert exits[0, s] == state
 
 
 def test_prefix_scan():
-    maps = np.random.default_rng(0).integers(0, 12, (37, 12)).astype(np.uint8)
-    got, want = tokens.prefix_scan(maps), np.arange(12)
-    for row, m in zip(got, maps, strict=True):
-        want = m[want]
-        assert (row == want).all()
+    rng = np.random.default_rng(0)
+    maps, counts = rng.integers(0, 12, (37, 12)).astype(np.uint8), rng.integers(0, 100, (37, 12))
+    exits, sums = tokens.prefix_scan(maps, counts)
+    at, total = np.arange(12), np.zeros(12, int)
+    for row, n, m, c in zip(exits, sums, maps, counts, strict=True):
+        total, at = total + c[at], m[at]
+        assert (row == at).all() and (n == total).all()
