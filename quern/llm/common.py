@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Most characters and texts that one numpy step over an Arrow batch takes in, so that memory does not follow the input.
 STEP_CHARS, STEP_TEXTS = 1 << 19, 256
 #: Most characters of a step that takes distinct runs out of its texts: the more, the oftener each run serves.
-STEP_RUNS = 1 << 22
+STEP_RUNS = 1 << 21
 #: Most groups that a sample to learn from may have.
 GROUPS = 256
 
@@ -53,24 +53,26 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; only where that is unset (tests) a local one is made."""
-    jvm = spark.sparkContext._jvm
+    """A new path in the shared folder of spark.checkpoint.dir. Where that is unset a local folder is made, for a local
+    master alone: executors elsewhere would not find it."""
     context = spark.sparkContext._jsc.sc()
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/quern-{label}-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+    return path
 
-    def drop() -> None:
-        try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may have ended before the process
-            pass
 
-    atexit.register(drop)
-    return path
+def delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may have ended before the process
+        pass
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -78,7 +80,28 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.quern_path = path
+    return made
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes what materialise wrote for df, once nothing reads it any more."""
+    if (path := getattr(df, "quern_path", None)) is not None:
+        delete(df.sparkSession, path)
+
+
+def without(docs: DataFrame, gone: DataFrame, doc_id: str) -> DataFrame:
+    """docs without the rows whose id is in gone (one column), whatever names the columns of docs have."""
+    other = gone.toDF(free_name(docs))
+    return docs.join(other, docs[doc_id].cast("long") == other[other.columns[0]], "left_anti")
+
+
+def free_name(docs: DataFrame, wish: str = "quern") -> str:
+    """A column name that docs does not have."""
+    while wish.lower() in [c.lower() for c in docs.columns]:
+        wish += "_"
+    return wish
 
 
 def text_or_empty(name: str) -> Column:
@@ -134,39 +157,38 @@ def package_path(name: str) -> str:
 
 
 def filter_texts(df: DataFrame, keeps: Callable[[list], list[bool]], text: str = "text") -> DataFrame:
-    """The rows whose text keeps() accepts, all columns as they are."""
+    """The rows whose text keeps() accepts, all columns as they are. Only the texts go to Python, and only verdicts come back."""
     bound_batches(df.sparkSession)
-    at = df.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in slices([len(t or "") for t in texts]):
-                yield batch.slice(a, b - a).filter(pa.array([bool(k) for k in keeps(texts[a:b])], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def verdict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            texts = column.to_pylist()
+            yield pa.array([bool(k) for a, b in slices([len(t or "") for t in texts]) for k in keeps(texts[a:b])], pa.bool_())
 
-    return df.mapInArrow(run, df.schema)
+    return df.filter(verdict(df[text]))
 
 
-def share_sample(rows: DataFrame, group: str, key: str, each: int, most: int, longest: int, text: str = "text", groups: int = GROUPS) -> list[tuple]:
-    """(group, text) of about `each` rows of every group, taken by a hash of their key; at most `most` rows in all.
+def share_sample(rows: DataFrame, group: str, key: str, each: int, most: int, text: str = "text", groups: int = GROUPS) -> DataFrame | None:
+    """(grp, rank, text) of about `each` rows of every group, taken by a hash of their key, so that a table gives the same
+    sample however it is laid out; at most `most` rows in all, whole texts, written once. None if there is no row.
 
     With many groups each gives fewer, so that all of them fit into `most` together; of a group with fewer rows all are taken.
     More than `groups` groups are an error, as none is left out in silence.
-
-    Texts of over `longest` characters are left out of the sample, so the driver holds at most most * longest characters.
     """
-    fit = rows.filter(F.col(group).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= longest))
+    fit = rows.filter(F.col(group).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in fit.groupBy(group).count().limit(groups + 1).collect()}
     if not counts:
-        return []
+        return None
     if len(counts) > groups:
         raise ValueError(f"{group} has more than {groups} values to learn; raise groups, and most with it")
     room = most - 6 * math.sqrt(most)  # hashes take some rows more or less
     each = min(each, room / len(counts))
     share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, each / n))])[F.col(group)]
-    taken = fit.filter(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 20)) < share * (1 << 20))
-    rows_taken = taken.select(group, text).limit(most + 1).collect()
-    if len(rows_taken) > most:  # many rows share a key, and the hash takes all of them
-        place = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.col(text)), text))
-        rows_taken = taken.withColumn("place", place).filter(F.col("place") <= each).select(group, text).collect()
-    return sorted((tuple(r) for r in rows_taken), key=lambda r: (str(r[0]), r[1]))
+    rank = F.xxhash64(F.col(key), F.lit(17))
+    taken = fit.filter(F.pmod(rank, F.lit(1 << 20)) < share * (1 << 20)).select(F.col(group).alias("grp"), rank.alias("rank"), F.col(text).alias("text"))
+    made = materialise(taken, "sample")
+    if made.count() > most:  # many rows share a key, and the hash takes all of them
+        place = F.row_number().over(Window.partitionBy("grp").orderBy("rank", F.xxhash64("text"), "text"))
+        made = materialise(made.withColumn("place", place).filter(F.col("place") <= each).drop("place"), "sample")
+    return made

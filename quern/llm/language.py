@@ -10,16 +10,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import GROUPS, filter_texts, learn_split, map_texts, read, share_sample
+from quern.llm.common import GROUPS, discard, filter_texts, learn_split, map_texts, read, share_sample
 from quern.llm.tokens import E as LAST_LETTER
 from quern.llm.tokens import class_table
 
 BUCKETS = 4096
-#: Bounds of the sample that is learnt from: rows of a language, rows in all, characters of a text.
-EACH, MOST, LONGEST = 400, 8000, 20_000
+#: Bounds of the sample that is learnt from: rows of a language, rows in all. Texts are taken whole.
+EACH, MOST = 400, 8000
 UNKNOWN = "und"
 
 
@@ -91,14 +92,19 @@ class LanguageModel:
 
 
 def fit(rows: list[tuple[str, str]], margin: float = 0.2, rounds: int = 150) -> LanguageModel:
-    """Learns from (language, text) rows: one logistic regression for each bit, all bits together, by Adam."""
-    languages = sorted({lang for lang, _ in rows})
-    codes = codewords(len(languages))
+    """Learns from (language, text) rows."""
     made = [features([t for _, t in rows[i : i + 100]]) for i in range(0, len(rows), 100)]  # piece by piece, to hold little
     x = np.concatenate([np.zeros((0, BUCKETS), np.float32), *(m[0] for m in made)])
     known = np.concatenate([np.zeros(0, bool), *(m[1] for m in made)])
-    del made
-    y = codes[[languages.index(lang) for lang, _ in rows]] if rows else np.zeros((0, codes.shape[1]))
+    return fit_features([lang for lang, _ in rows], x, known, margin, rounds)
+
+
+def fit_features(langs: list[str], x: np.ndarray, known: np.ndarray, margin: float = 0.2, rounds: int = 150) -> LanguageModel:
+    """Learns from the features of texts: one logistic regression for each bit, all bits together, by Adam."""
+    languages = sorted(set(langs))
+    codes = codewords(len(languages))
+    place = {lang: i for i, lang in enumerate(languages)}
+    y = codes[[place[lang] for lang in langs]] if langs else np.zeros((0, codes.shape[1]))
     if not known.all():
         x, y = x[known], y[known]
     y = y.astype(np.float32)
@@ -115,12 +121,25 @@ def fit(rows: list[tuple[str, str]], margin: float = 0.2, rounds: int = 150) ->
     return LanguageModel(languages, codes, w, b, np.maximum(2 * right - 1, 0.05), margin)
 
 
-def learn(docs: DataFrame, each: int = EACH, most: int = MOST, longest: int = LONGEST, groups: int = GROUPS) -> LanguageModel:
+def learn(docs: DataFrame, each: int = EACH, most: int = MOST, groups: int = GROUPS) -> LanguageModel:
     """From a bounded sample of the rows that may be learnt from; rows without a language or text are left out.
 
-    All languages share the sample; more than `groups` of them are an error.
+    All languages share the sample; more than `groups` of them are an error. Whole texts become features where they lie:
+    the driver gets as many numbers of each row, however long its text is.
     """
-    return fit(share_sample(docs.select("doc_id", "lang", "text").filter(learn_split(F.col("doc_id"))), "lang", "doc_id", each, most, longest, groups=groups))
+    sample = share_sample(docs.select("doc_id", "lang", "text").filter(learn_split(F.col("doc_id"))), "lang", "doc_id", each, most, groups=groups)
+    if sample is None:
+        return fit([])
+
+    def describe(texts: list) -> dict[str, list]:
+        x, known = features(texts)
+        return {"x": pa.array([row.tobytes() for row in x.astype(np.float16)], pa.binary()), "known": known.tolist()}
+
+    rows = map_texts(sample, describe, "x binary, known boolean", ("grp", "rank")).collect()  # at most `most` rows of fixed size
+    rows.sort(key=lambda r: (r["grp"], r["rank"], r["x"]))
+    x = np.frombuffer(b"".join([r["x"] for r in rows]), np.float16).reshape(len(rows), BUCKETS).astype(np.float32)
+    discard(sample)
+    return fit_features([r["grp"] for r in rows], x, np.array([r["known"] for r in rows], bool))
 
 
 def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,7 +157,11 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """docs without rows that have no language or an ambiguous one; with nothing to learn from, all with a letter stay."""
+    """docs without rows that have no language or an ambiguous one; with nothing to learn from, all with a letter stay.
+
+    Texts that are null, empty or have no letter go. Repeated rows and null ids fare as their text does, columns stay as
+    they are, whatever their names, and an empty table stays empty.
+    """
 
     def keeps(texts: list) -> list[bool]:
         if not model.languages:

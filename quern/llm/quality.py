@@ -2,7 +2,7 @@
 
 A document's UTF-8 bytes are covered by overlapping chunks. Learnt filters slide over each chunk; the strongest answer
 of every filter, with the chunk's length, goes through a small hidden layer to one number. The mean over the chunks,
-calibrated, is the document's probability. Where words repeat few filters answer, so the pooled answers also tell how
+mapped so that even odds of the two labels lie at the threshold, is the document's score. Where words repeat few filters answer, so the pooled answers also tell how
 varied a chunk is.
 """
 
@@ -11,15 +11,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import filter_texts, learn_split, map_texts, read, share_sample
+from quern.llm.common import discard, filter_texts, learn_split, map_texts, read, share_sample
 
 WIDTH, STEP, FILTERS, HIDDEN = 6, 2, 32, 24
 CHUNK, OVERLAP = 512, 128
-#: Bounds of the sample that is learnt from: rows of a label, rows in all, characters of a text, chunks in all.
-EACH, MOST, LONGEST, CHUNKS = 800, 4000, 20_000, 4000
+#: Bounds of the sample that is learnt from: rows of a label, rows in all, chunks of a row, spread over its whole text.
+EACH, MOST, CHUNKS = 800, 4000, 3
 THRESHOLD = 0.7
 
 
@@ -91,29 +92,40 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.means(texts) + self.shift, -30, 30)))
 
 
-def fit(rows: list[tuple[int, str]], epochs: int = 12, batch: int = 64, rate: float = 4e-3, most: int = CHUNKS, seed: int = 7) -> QualityModel:
-    """Learns from (label, text) rows: chunks carry their document's label; labels weigh the same together."""
+def spread_chunks(data: bytes, most: int = CHUNKS) -> list[bytes]:
+    """At most `most` of a document's chunks, at even distances from its beginning to its end."""
+    spans = chunks_of(data)
+    picked = sorted({round(k * (len(spans) - 1) / max(1, most - 1)) for k in range(most)}) if len(spans) > most else range(len(spans))
+    return [data[spans[i][0] : spans[i][1]] for i in picked]
+
+
+def constant(label: float | None) -> QualityModel:
+    """Where there is nothing to tell apart: all as the one label, or as good."""
+    f32 = np.float32
+    model = QualityModel(np.zeros((WIDTH, 256, FILTERS), f32), np.zeros(FILTERS, f32), np.zeros((FILTERS + 1, HIDDEN), f32), np.zeros(HIDDEN, f32), np.zeros(HIDDEN, f32), np.zeros(1, f32))
+    model.shift = -4.0 if label == 0 else 4.0
+    return model
+
+
+def fit(rows: list[tuple[int, str]], **more) -> QualityModel:
+    """Learns from (label, text) rows, all of them at hand."""
+    labels = np.array([y for y, _ in rows], float)
+    if len(set(labels)) < 2:
+        return constant(labels[0] if len(labels) else None)
+    parts = [(y, part) for y, text in rows for part in spread_chunks(text.encode())]
+    model = train_filters([y for y, _ in parts], [p for _, p in parts], **more)
+    return calibrate(model, labels, np.concatenate([model.means([t]) for _, t in rows]))
+
+
+def train_filters(labels: list[int], parts: list[bytes], epochs: int = 12, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> QualityModel:
+    """Learns from chunks that carry their document's label; labels weigh the same together."""
     rng = np.random.default_rng(seed)
     f32 = np.float32
     model = QualityModel(
         rng.normal(0, 0.35, (WIDTH, 256, FILTERS)).astype(f32), np.zeros(FILTERS, f32),
         rng.normal(0, 0.3, (FILTERS + 1, HIDDEN)).astype(f32), np.zeros(HIDDEN, f32), rng.normal(0, 0.3, HIDDEN).astype(f32), np.zeros(1, f32),
     )
-    labels = np.array([y for y, _ in rows], float)
-    if len(set(labels)) < 2:  # nothing to tell apart: all as the one label, or as good
-        model.out[:] = 0
-        model.shift = 4.0 if not len(labels) or labels[0] else -4.0
-        return model
-    parts, y = [], []
-    for label, text in rows:
-        data = text.encode()
-        for a, b in chunks_of(data):
-            parts.append(data[a:b])
-            y.append(label)
-    order = rng.permutation(len(parts))
-    y = np.array(y, f32)
-    picked = np.concatenate([[i for i in order if y[i] == k][: most // 2] for k in (0, 1)]).astype(int)
-    train, y = [parts[i] for i in picked], y[picked]
+    train, y = list(parts), np.array(labels, f32)
     for i in range(0, len(train)):  # as many again cut short, so that length alone says nothing
         size = int(np.exp(rng.uniform(np.log(16), np.log(CHUNK))))
         at = int(rng.integers(0, max(1, len(train[i]) - size)))
@@ -142,26 +154,49 @@ def fit(rows: list[tuple[int, str]], epochs: int = 12, batch: int = 64, rate: fl
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
                 p -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)
-    z = np.concatenate([model.means([t]) for _, t in rows])
+    return model
+
+
+def calibrate(model: QualityModel, labels: np.ndarray, z: np.ndarray) -> QualityModel:
+    """Sets slope and shift from the means of whole documents that were learnt from, both labels weighing the same: where
+    they are equally likely the score is THRESHOLD."""
     spread = z.std() + 1e-6
     a, b = 1.0, 0.0
-    for _ in range(300):  # calibration over documents, both labels weighing the same
+    for _ in range(300):
         p = 1 / (1 + np.exp(-(a * z / spread + b)))
         g = (p - labels) * np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
         a, b = a - 1.0 * ((g * z / spread).sum() + 1e-3 * a), b - 1.0 * g.sum()
-    model.slope, model.shift = float(a / spread), float(b + np.log(THRESHOLD / (1 - THRESHOLD)))  # even odds lie at the threshold
+    model.slope, model.shift = float(a / spread), float(b + np.log(THRESHOLD / (1 - THRESHOLD)))
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, each: int = EACH, most: int = MOST, longest: int = LONGEST) -> QualityModel:
-    """From a bounded sample of the labelled rows that may be learnt from. Rows without label or text are left out."""
+def learn(docs: DataFrame, labels: DataFrame, each: int = EACH, most: int = MOST) -> QualityModel:
+    """From a bounded sample of the labelled rows that may be learnt from. Rows without label or text are left out.
+
+    The driver gets up to CHUNKS chunks of each sampled row, from all over its text, and after learning the mean over all
+    its chunks, however long the text is.
+    """
     marked = labels.select("doc_id", "quality").filter(learn_split(F.col("doc_id")) & F.col("quality").isin(0, 1))
     counts = {r[0]: r[1] for r in marked.groupBy("quality").count().collect()}
     if not counts:
-        return fit([])
+        return constant(None)
+    rank = F.xxhash64("doc_id", F.lit(23))
     share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, 1.5 * each / n))])[F.col("quality")]
-    picked = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)) < share * (1 << 20)).limit(most)  # so few rows may be broadcast
-    return fit(share_sample(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "quality", "doc_id", each, most, longest))
+    picked = marked.filter(F.pmod(rank, F.lit(1 << 20)) < share * (1 << 20))
+    place = F.row_number().over(Window.partitionBy("quality").orderBy(rank, "doc_id"))
+    picked = picked.withColumn("place", place).filter(F.col("place") <= most // 2).drop("place")  # at most `most` rows, which may be broadcast
+    sample = share_sample(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "quality", "doc_id", each, most)
+    if sample is None:
+        return constant(None)
+    parts = map_texts(sample, lambda texts: {"parts": pa.array([spread_chunks(t.encode()) for t in texts], pa.list_(pa.binary()))}, "parts array<binary>", ("grp", "rank")).collect()
+    parts = sorted((r["rank"], r["grp"], bytes(p)) for r in parts for p in r["parts"])
+    if len({g for _, g, _ in parts}) < 2:
+        return constant(parts[0][1])
+    model = train_filters([g for _, g, _ in parts], [p for _, _, p in parts])
+    means = map_texts(sample, lambda texts: {"z": model.means(texts).tolist()}, "z double", ("grp", "rank")).collect()
+    means.sort(key=lambda r: (r["rank"], r["grp"], r["z"]))
+    discard(sample)
+    return calibrate(model, np.array([r["grp"] for r in means], float), np.array([r["z"] for r in means]))
 
 
 def classify(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,8 +207,6 @@ def classify(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD,
     """
 
     def score(texts: list) -> dict[str, list]:
-        import pyarrow as pa
-
         got = model.scores(texts)
         return {"score": got.tolist(), "predicted": pa.array((got >= threshold).astype(int).tolist(), pa.int32())}
 
@@ -182,7 +215,11 @@ def classify(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD,
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """docs without rows that score below the threshold."""
+    """docs without rows that score below the threshold.
+
+    Null and empty texts are scored as an empty chunk. Repeated rows and null ids fare as their text does, columns stay as
+    they are, whatever their names, and an empty table stays empty.
+    """
     return filter_texts(docs, lambda texts: (model.scores(texts) >= threshold).tolist(), text)
 
 
