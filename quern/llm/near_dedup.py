@@ -2,11 +2,13 @@
 
 1. Every text becomes the set of its distinct five-word shingles, as 64-bit hashes; texts with one set form one class.
 2. Minima of many universal hash functions over a set make its signature. Bands of it are hashed into buckets.
-3. Stars from each bucket's least member, and components of them, give candidate clusters: no two sets that share a
-   bucket fall apart, and no bucket's pairs are written out.
-4. Inside a cluster all pairs are looked at in blocks of bounded size: signatures first, then the full sets, and only
-   where the two are not linked yet. Clusters beyond one block become pairs of blocks.
-5. Components of the verified links are the result.
+3. Each member of a bucket is compared with the bucket's least member on full sets. Alternating stars make components
+   of these verified links; a large group of near copies is one component from here on.
+4. What is left are buckets that hold several components. Pairs between different ones are looked at where they first
+   share a bucket: signatures mark the members that have such a pair, and only for these full sets are compared.
+   Buckets beyond one block are split into blocks of bounded rows and shingles; the members of a bucket's largest
+   component meet the others, not each other.
+5. Components of all verified links are the result.
 """
 
 from __future__ import annotations
@@ -14,13 +16,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import bound_batches, map_texts, materialise, read
-from quern.llm.components import components
+from quern.llm.common import bound_batches, map_texts, materialise, read, without
+from quern.llm.components import attach, components
 from quern.llm.words import GOLD, M1, PLACES, U, Words, constants, mix
 
 #: Similarity of near-duplicates: PERCENT is the contract of op8, STAGE_PERCENT that of stages of a pipeline.
@@ -30,8 +31,8 @@ MINIMA, MISS = 192, 3e-7
 #: One byte of 128 minima; the cut below which pairs are not looked at lies so many deviations under the limit: 70 % for 85 %.
 SKETCH, LOOK_FROM = 128, 0.70
 DEVIATIONS = (PERCENT / 100 - LOOK_FROM) / math.sqrt(0.85 * 0.15)
-#: Documents of a block; a task compares at most two blocks.
-BLOCK = 256
+#: Documents and shingles of a block; two blocks meet at a time. Rows that a task takes in together.
+BLOCK, SHINGLES, ROWS = 256, 1 << 20, 4096
 
 FACTORS = constants("factor", MINIMA) | U(1)
 SHIFTS = constants("shift", MINIMA)
@@ -102,45 +103,120 @@ def describe(texts: list, percent: int = PERCENT) -> dict[str, list]:
     return {"n_shingles": [len(s) for s in sets], "key": pa.array(key, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())}
 
 
-def linked(a: set, b: set, percent: int = PERCENT) -> bool:
-    shared = len(a & b)
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sets, as sorted arrays, are near."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    shared = int((b[np.minimum(at, len(b) - 1)] == a).sum())
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def links_of(block: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
-    """A spanning forest of the links among a block's documents, or between its two halves."""
-    block = block.sort_values("id", kind="stable").reset_index(drop=True)
-    ids, n = block["id"].tolist(), len(block)
-    side = block["side"].to_numpy()
-    two = block["low"].iloc[0] != block["high"].iloc[0]
-    sketches = np.frombuffer(b"".join(block["sketch"]), np.uint8).reshape(n, SKETCH)
-    sizes = block["n_shingles"].to_numpy()
-    root, least = list(range(n)), look_from(percent)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    sets: dict[int, set] = {}
-
-    def set_of(i: int) -> set:
-        if i not in sets:
-            sets[i] = set(shingles([block["text"].iat[i]])[0].tolist())
-        return sets[i]
-
-    for i in range(n - 1):
-        near = (sketches[i + 1 :] == sketches[i]).mean(1) >= least
-        near &= 100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i])
-        if two:
-            near &= side[i + 1 :] != side[i]
-        for j in (np.flatnonzero(near) + i + 1).tolist():
-            a, b = find(i), find(j)
-            if a != b and linked(set_of(i), set_of(j), percent):
-                root[max(a, b)] = min(a, b)
-    got = [(ids[i], ids[find(i)]) for i in range(n) if find(i) != i]
-    return pd.DataFrame({"cluster": [block["cluster"].iloc[0]] * len(got), "high": [h for h, _ in got], "low": [w for _, w in got]}).astype("int64")
+class Group:
+    """Rows that meet in a task, as columns: sub (rows of one value are compared), id, comp, side (rows of one side are
+    not compared, -1: of no side), n_shingles, sketch, and what only some steps need: bucket, bands, text."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        self.table, self.percent, self.least = table, percent, look_from(percent)
+        take = lambda c: table.column(c).to_numpy()
+        self.id, self.comp, self.side, self.size = take("id"), take("comp"), take("side"), take("n_shingles")
+        self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(self.id), SKETCH)
+        self.bands = None
+        if "bands" in table.column_names:
+            self.bands, self.bucket = np.array(table.column("bands").combine_chunks().flatten()).reshape(len(self.id), -1), take("bucket")
+        sub = take("sub")
+        order = np.lexsort((self.side, sub))
+        cuts = np.flatnonzero(np.diff(sub[order])) + 1
+        self.subs = np.split(order, cuts)
+
+    def pairs(self, rows: np.ndarray):
+        """(row, rows it may be near to) for the rows of one sub: of other components and sides, with alike sizes and
+        signatures, in the first bucket that they share."""
+        for n, i in enumerate(rows[:-1].tolist()):
+            if self.side[i] == 1:  # sides 0 come first: those that follow are of this one
+                break
+            j = rows[n + 1 :]
+            j = j[(self.comp[j] != self.comp[i]) & ((self.side[j] != self.side[i]) | (self.side[i] < 0))]
+            j = j[100 * np.minimum(self.size[j], self.size[i]) >= self.percent * np.maximum(self.size[j], self.size[i])]
+            j = j[(self.sketch[j] == self.sketch[i]).mean(1) >= self.least] if len(j) else j
+            if len(j) and self.bands is not None:
+                first = (self.bands[j] == self.bands[i]).argmax(1)
+                j = j[self.bands[i][first] == self.bucket[i]]
+            if len(j):
+                yield i, j
+
+    def marked(self) -> pa.Table:
+        """Rows that have a pair."""
+        hit = np.zeros(len(self.id), bool)
+        for rows in self.subs:
+            for i, j in self.pairs(rows):
+                hit[i] = True
+                hit[j] = True
+        return self.table.select(["bucket", "id"]).filter(pa.array(hit))
+
+    def links(self) -> pa.Table:
+        """A spanning forest, by sub, of the verified links between components."""
+        high, low = [], []
+        for rows in self.subs:
+            root: dict[int, int] = {}
+            sets: dict[int, np.ndarray] = {}
+
+            def find(c: int, root=root) -> int:
+                while (up := root.get(c, c)) != c:
+                    c = up
+                return c
+
+            def set_of(i: int, sets=sets) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = shingles([self.table.column("text")[i].as_py()])[0]
+                return sets[i]
+
+            for i, others in self.pairs(rows):
+                for j in others.tolist():
+                    a, b = find(int(self.comp[i])), find(int(self.comp[j]))
+                    if a != b and linked(set_of(i), set_of(j), self.percent):
+                        root[max(a, b)] = min(a, b)
+                        high.append(max(a, b))
+                        low.append(min(a, b))
+                sets.pop(i, None)  # no later row meets this one
+        return pa.table({"high": pa.array(high, pa.int64()), "low": pa.array(low, pa.int64())})
+
+
+def share_out(rows: DataFrame, block: int, shingles: int) -> DataFrame:
+    """rows (bucket, id, comp, n_shingles, ..) of buckets with several components, once for every pair of blocks that they
+    are in: with sub and side. Nothing is split where a bucket fits one block."""
+    per = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    size = per.groupBy("bucket").agg(F.max(F.struct("n", "w", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("comps"))
+    blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(w / shingles)).cast("int")
+    size = size.filter("comps > 1").select(
+        "bucket", F.col("main.comp").alias("main"), blocks(F.col("n"), F.col("w")).alias("whole"),
+        blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("others"), blocks(F.col("main.n"), F.col("main.w")).alias("mains"),
+    )
+    known = attach(rows, size, "bucket", "id")
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("comp") == F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    cell = lambda kind, low, high, side: F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"), side.cast("int").alias("side"))
+    places = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = F.col("own")
+    among = F.transform(places("others"), lambda j: cell(0, F.least(own, j), F.greatest(own, j), F.when(own == j, -1).when(own < j, 0).otherwise(1)))
+    against = F.transform(places("mains"), lambda j: cell(1, own, j, F.lit(0)))
+    main = F.transform(places("others"), lambda i: cell(1, i, own, F.lit(1)))
+    cells = F.when(F.col("whole") == 1, F.array(cell(2, F.lit(0), F.lit(0), F.lit(-1)))).when(F.col("comp") == F.col("main"), main).otherwise(F.concat(among, against))
+    laid = known.withColumn("own", mine).withColumn("cell", F.explode(cells))
+    return laid.withColumn("sub", F.xxhash64("bucket", "cell.kind", "cell.low", "cell.high")).withColumn("side", F.col("cell.side")).drop("cell", "own", "main", "whole", "others", "mains")
+
+
+def gathered(rows: DataFrame, weight: float, function, schema: str, percent: int) -> DataFrame:
+    """function(Group) over rows with sub; subs share a task up to about ROWS rows and SHINGLES shingles (weight of all rows)."""
+    groups = max(1, math.ceil(weight))
+    shared = rows.withColumn("task", F.pmod("sub", F.lit(groups)))
+    return shared.groupBy("task").applyInArrow(lambda table: function(Group(table, percent)), schema)
+
+
+def verified(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (high, low) between components, from rows with sub, side, comp and what Group needs of a class."""
+    rows = materialise(rows, "to-verify")
+    weight = rows.agg(F.count("*") / ROWS + F.sum("n_shingles") / SHINGLES).first()[0] or 0
+    return materialise(gathered(rows.join(texts, ["id", "tk"]), weight, Group.links, "high long, low long", percent), "links")
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text", percent: int = STAGE_PERCENT) -> DataFrame:
@@ -151,41 +227,51 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, doc_id: str = "doc_id",
     component of their texts, so repeated rows share their result. Rows with a null id are not linked; they stay, with a null component. Other
     columns are ignored; an empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    facts = materialise(map_texts(plain, lambda texts: describe(texts, percent), "n_shingles long, key binary, bands array<long>, sketch binary", ("id",)), "shingle-facts")
+    bound_batches(docs.sparkSession)
+    plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tk"), F.col(text).alias("text"))
+    facts = materialise(map_texts(plain, lambda texts: describe(texts, percent), "n_shingles long, key binary, bands array<long>, sketch binary", ("id", "tk")), "shingle-facts")
     known = facts.filter("id IS NOT NULL AND key IS NOT NULL")
-    best = known.groupBy("key").agg(F.min(F.struct("id", "n_shingles", "bands", "sketch")).alias("best"))
+    best = known.groupBy("key").agg(F.min(F.struct("id", "tk", "n_shingles", "bands", "sketch")).alias("best"))
     classes = materialise(best.select("key", "best.*"), "shingle-classes")
+    sizes = classes.select("id", "n_shingles")
     banded = classes.select("id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    candidates = banded.join(shared, "bucket").filter("id > least").select(F.col("id").alias("high"), F.col("least").alias("low"))
-    tied = components(candidates)
-    clusters = materialise(tied.unionAll(tied.select(F.col("component").alias("id"), "component").distinct()), "clusters")
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    member = clusters.join(sizes, "component").join(classes.select("id", "n_shingles", "sketch"), "id")
-    member = member.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("id", F.col("component").alias("cluster"), "blocks", "n_shingles", "sketch", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.col("own").alias("side"))
-    texts = plain.filter("id IS NOT NULL").join(classes.select("id", F.col("key").alias("class_key")).join(clusters.select("id"), "id", "left_semi"), "id")
-    work = texts.join(member, "id")
-    links = materialise(work.groupBy("cluster", "low", "high").applyInPandas(lambda block: links_of(block, percent), "cluster long, high long, low long"), "links")
-    wide = clusters.join(sizes.filter("blocks > 1"), "component", "left_semi").select(F.col("component").alias("cluster")).distinct()
-    inside = links.join(wide, "cluster", "left_anti").select(F.col("high").alias("id"), F.col("low").alias("component"))
-    across = components(links.join(wide, "cluster", "left_semi").select("high", "low"))
-    labels = inside.unionAll(across)
+    members = materialise(attach(banded, shared, "bucket", "id").select("bucket", "id", "least"), "bucket-members")
+    wanted = classes.select("id", "tk").join(members.select("id").distinct(), "id", "left_semi")
+    texts = materialise(plain.join(wanted, ["id", "tk"], "left_semi").groupBy("id", "tk").agg(F.first("text").alias("text")), "bucket-texts")
+
+    # every member against the least of its buckets
+    edges = materialise(members.filter("id > least").select("id", "least").distinct().join(sizes, "id"), "star-edges")
+    load = edges.groupBy("least").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / SHINGLES)).cast("int").alias("parts"))
+    rays = attach(edges.select("id", "least"), load, "least", "id").select("id", F.xxhash64("least", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("sub"), F.lit(1).alias("side"))
+    hubs = load.select("least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("least").alias("id"), F.xxhash64("least", "part").alias("sub"), F.lit(0).alias("side"))
+    star = rays.unionByName(hubs).join(classes.select("id", "tk", "n_shingles", "sketch"), "id").withColumn("comp", F.col("id"))
+    tied = components(verified(star, texts, percent))
+
+    # pairs between components that share a bucket: signatures first, then sets
+    placed = members.select("bucket", "id").join(tied, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp")).join(sizes, "id")
+    sketched = classes.select("id", "tk", "sketch", "bands")
+    mixed = materialise(share_out(placed, block, SHINGLES), "mixed-buckets")
+    marked = gathered(mixed.join(sketched, "id"), mixed.count() / ROWS, Group.marked, "bucket long, id long", percent)
+    marked = materialise(marked.distinct(), "marked-members")
+    more = verified(share_out(placed.join(marked, ["bucket", "id"]), block, SHINGLES).join(sketched, "id"), texts, percent)
+    labels = tied if more.isEmpty() else components(tied.select(F.col("id").alias("high"), F.col("component").alias("low")).unionAll(more))
+
     whose = known.groupBy("id", "key").agg(F.lit(1).alias("one")).join(classes.select("key", F.col("id").alias("class_id")), "key")
-    placed = whose.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
-    placed = placed.groupBy("id").agg(F.min(F.coalesce("component", "class_id")).alias("component_id"))
-    out = facts.select("id", "n_shingles").join(placed, "id", "left")
+    found = whose.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
+    found = found.groupBy("id").agg(F.min(F.coalesce("component", "class_id")).alias("component_id"))
+    out = facts.select("id", "n_shingles").join(found, "id", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").cast(docs.schema[doc_id].dataType).alias(doc_id), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = STAGE_PERCENT) -> DataFrame:
-    """docs with one document of each component, columns as they are."""
-    gone = near_duplicates(docs, doc_id=doc_id, text=text, percent=percent).filter("NOT kept").select(F.col(doc_id).alias("gone")).distinct()
-    return docs.join(gone, docs[doc_id] == F.col("gone"), "left_anti")
+    """docs with one document of each component, columns as they are, whatever their names.
+
+    Texts without words and rows with a null id all stay; of repeated rows with the id that stays, all do. An empty table stays empty.
+    """
+    gone = near_duplicates(docs, doc_id=doc_id, text=text, percent=percent).filter("NOT kept").select(F.col(doc_id).alias("id")).distinct()
+    return without(docs, gone, doc_id)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
