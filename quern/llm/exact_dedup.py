@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import lower_ascii, materialise, read, text_or_empty
+from quern.llm.common import free_name, lower_ascii, materialise, read, text_or_empty
 
 #: Share of the rows from which a digest counts as heavy; the summary and the broadcast have at most 1 / SHARE rows.
 SHARE = 0.001
@@ -36,15 +36,22 @@ def decisions(docs: DataFrame, share: float = SHARE, doc_id: str = "doc_id", tex
 
 
 def drop_copies(docs: DataFrame, share: float = SHARE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that exact deduplication drops; columns stay as they are."""
-    made = decisions(docs, share, doc_id, text)
-    kept = made.filter("kept").select(F.col(doc_id).alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
-    digest = F.sha2(lower_ascii(text_or_empty(text)).cast("binary"), 256)
-    same = docs[doc_id].eqNullSafe(F.col("kept_id")) & (digest == F.col("kept_digest"))
-    found = docs.join(kept, same, "left_semi")
-    if made.groupBy(doc_id).count().filter("count > 1").isEmpty():
-        return found  # ids are unique, as they should be: no row can stay twice
-    return found.withColumn("quern_digest", digest).dropDuplicates([doc_id, "quern_digest"]).drop("quern_digest")
+    """docs without the rows that exact deduplication drops; columns stay as they are, whatever their names.
+
+    The rows that go are written down by id (with the digest too, where ids repeat), and docs meets that small table: Spark
+    broadcasts it while it is under its threshold, and shuffles beyond.
+    """
+    made = materialise(decisions(docs, share, doc_id, text), "decisions")
+    same = F.col(doc_id).eqNullSafe(F.col("keep_id"))
+    gone = materialise(made.filter(~F.col("kept") & ~same).select(F.col(doc_id).alias("id"), "text_sha256"), "copies")
+    name = free_name(docs)
+    if made.groupBy(doc_id).count().filter("count > 1").isEmpty():  # ids tell rows apart, as they should
+        other = gone.select(F.col("id").alias(name))
+        return docs.join(other, docs[doc_id].eqNullSafe(other[name]), "left_anti")
+    other = gone.distinct().toDF(name, name + "_sha")
+    digest = F.sha2(lower_ascii(F.coalesce(docs[text], F.lit(""))).cast("binary"), 256)
+    found = docs.join(other, docs[doc_id].eqNullSafe(other[name]) & (digest == other[name + "_sha"]), "left_anti")
+    return found.withColumn(name, F.sha2(lower_ascii(text_or_empty(text)).cast("binary"), 256)).dropDuplicates([doc_id, name]).drop(name)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
