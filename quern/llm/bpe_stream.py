@@ -305,7 +305,7 @@ class StreamingDecoder:
 class DigestCodec(WordCodec):
     """Keeps for each run the number of ids, their decimal digits and their decoded text, a blank before each."""
 
-    def __init__(self, path: str, kept_runs: int = 600_000):
+    def __init__(self, path: str, kept_runs: int = 500_000):
         super().__init__(path)
         self.seen = bpe.Recent(kept_runs)
         self.decoder = StreamingDecoder(self.table)

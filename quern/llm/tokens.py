@@ -266,7 +266,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
         n = counter(package_path(tokenizer)).counts(texts)
         return {"n_bytes": [len((t or "").encode()) for t in texts], "n_tokens": n.tolist(), "over_limit": (n > limit).tolist()}
 
-    return map_texts(docs, count, "n_bytes long, n_tokens long, over_limit boolean", (doc_id,), text, STEP_RUNS // 2)
+    return map_texts(docs, count, "n_bytes long, n_tokens long, over_limit boolean", (doc_id,), text, STEP_RUNS)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
