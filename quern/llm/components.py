@@ -13,10 +13,11 @@ SALTS = 16
 
 def attach(rows: DataFrame, facts: DataFrame, key: str, spread: str) -> DataFrame:
     """rows with the facts of their key, one row a key. Each fact goes to SALTS places and a key's rows are spread over
-    these by another of their columns, so that no hot key meets in one task."""
+    these by another of their columns, so that no hot key meets in one task. Spread facts are not broadcast: Spark would
+    judge them by their size before."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread, F.lit(29)), F.lit(SALTS)).cast("int"))
     everywhere = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(everywhere, [key, "salt"]).drop("salt")
+    return salted.join(everywhere.hint("merge"), [key, "salt"]).drop("salt")
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:

@@ -233,24 +233,24 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, doc_id: str = "doc_id",
     known = facts.filter("id IS NOT NULL AND key IS NOT NULL")
     best = known.groupBy("key").agg(F.min(F.struct("id", "tk", "n_shingles", "bands", "sketch")).alias("best"))
     classes = materialise(best.select("key", "best.*"), "shingle-classes")
-    sizes = classes.select("id", "n_shingles")
     banded = classes.select("id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = materialise(attach(banded, shared, "bucket", "id").select("bucket", "id", "least"), "bucket-members")
-    wanted = classes.select("id", "tk").join(members.select("id").distinct(), "id", "left_semi")
-    texts = materialise(plain.join(wanted, ["id", "tk"], "left_semi").groupBy("id", "tk").agg(F.first("text").alias("text")), "bucket-texts")
+    own = materialise(classes.drop("key").join(members.select("id").distinct(), "id", "left_semi"), "member-classes")
+    texts = plain.join(own.select("id", "tk"), ["id", "tk"], "left_semi").groupBy("id", "tk").agg(F.first("text").alias("text"))
+    texts = materialise(texts, "member-texts")
 
     # every member against the least of its buckets
-    edges = materialise(members.filter("id > least").select("id", "least").distinct().join(sizes, "id"), "star-edges")
+    edges = materialise(members.filter("id > least").select("id", "least").distinct().join(own.select("id", "n_shingles"), "id"), "star-edges")
     load = edges.groupBy("least").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / SHINGLES)).cast("int").alias("parts"))
     rays = attach(edges.select("id", "least"), load, "least", "id").select("id", F.xxhash64("least", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("sub"), F.lit(1).alias("side"))
     hubs = load.select("least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("least").alias("id"), F.xxhash64("least", "part").alias("sub"), F.lit(0).alias("side"))
-    star = rays.unionByName(hubs).join(classes.select("id", "tk", "n_shingles", "sketch"), "id").withColumn("comp", F.col("id"))
+    star = rays.unionByName(hubs).join(own.drop("bands"), "id").withColumn("comp", F.col("id"))
     tied = components(verified(star, texts, percent))
 
     # pairs between components that share a bucket: signatures first, then sets
-    placed = members.select("bucket", "id").join(tied, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp")).join(sizes, "id")
-    sketched = classes.select("id", "tk", "sketch", "bands")
+    placed = members.select("bucket", "id").join(tied, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp")).join(own.select("id", "n_shingles"), "id")
+    sketched = own.drop("n_shingles")
     mixed = materialise(share_out(placed, block, SHINGLES), "mixed-buckets")
     marked = gathered(mixed.join(sketched, "id"), mixed.count() / ROWS, Group.marked, "bucket long, id long", percent)
     marked = materialise(marked.distinct(), "marked-members")

@@ -34,7 +34,7 @@ class LibraryIds:
 
     MARK, CALL = "\0", 20_000
 
-    def __init__(self, path: str, kept_runs: int = 500_000):
+    def __init__(self, path: str, kept_runs: int = 300_000):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
