@@ -56,3 +56,8 @@ def array_agg(x: Column, *by: Column) -> Column:
     rows = F.collect_list(F.struct(*[b.alias(f"k{i}") for i, b in enumerate(by)], x.alias("v")))
     ordered = F.sort_array(rows) if by else rows
     return F.when(F.size(rows) > 0, F.to_json(F.transform(ordered, lambda s: s["v"])))
+
+
+def lead_or(x: Column, n: int, default: Column, window) -> Column:
+    """LEAD(x, n, default), default being any value of the row; LAG where n is negative. A null that is there stays null."""
+    return F.when(F.lead(F.lit(True), n).over(window).isNull(), default).otherwise(F.lead(x, n).over(window))

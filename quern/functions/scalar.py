@@ -245,7 +245,8 @@ CHAR_PARTS = (
 )
 
 
-def to_char(ts: Column, pattern: str) -> Column:
+def char_pattern(pattern: str) -> tuple[str, bool]:
+    """A TO_CHAR pattern for date_format, and whether the result is to be in upper case."""
     out, i = "", 0
     while i < len(pattern):
         hit = next(((a, b) for a, b in CHAR_PARTS if pattern.startswith(a, i)), None)
@@ -255,8 +256,13 @@ def to_char(ts: Column, pattern: str) -> Column:
         else:
             out += f"'{pattern[i]}'" if pattern[i].isalpha() else pattern[i] if pattern[i] != "'" else "''"
             i += 1
+    return out, "MONTH" in pattern or "DAY" in pattern
+
+
+def to_char(ts: Column, pattern: str) -> Column:
+    out, upper = char_pattern(pattern)
     made = F.date_format(ts, out)
-    return F.upper(made) if "MONTH" in pattern or "DAY" in pattern else made
+    return F.upper(made) if upper else made
 
 
 # JSON text

@@ -22,6 +22,28 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int, offset: int = 0) -> Da
     return (cut.offset(offset) if offset else cut).limit(n)
 
 
+def numbered(df: DataFrame, key: str, tie: str, name: str, falling: bool = False, parts: int = 64) -> DataFrame:
+    """df with its row numbers in the order of key, null being the largest, and then of tie, which rises.
+
+    No task sees all rows: they are parted at quantiles of the key, those with a null key at quantiles of tie, numbered
+    within a part, and moved by the rows of the parts before, of which there are at most 2 * parts.
+    """
+    share = [i / parts for i in range(1, parts)]
+    of_key, of_tie = df.approxQuantile([key, tie], share, 0.25 / parts) if not df.isEmpty() else ([], [])
+    above = lambda c, cuts: F.lit(0) if not cuts else sum(((F.col(c) > F.lit(x)).cast("int") for x in sorted(set(cuts))), F.lit(0))
+    known = F.col(key).isNotNull()
+    place = F.when(known, above(key, of_key)).otherwise(parts)
+    place = (parts - place) if falling else place
+    part = F.struct(place.alias("a"), F.when(known, 0).otherwise(above(tie, of_tie)).alias("b"))
+    laid = df.withColumn("quern_part", part)
+    before = Window.orderBy("quern_part").rowsBetween(Window.unboundedPreceding, -1)  # over the parts alone
+    base = laid.groupBy("quern_part").agg(F.count("*").alias("n")).select("quern_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("quern_base"))
+    order = F.col(key).desc_nulls_first() if falling else F.col(key).asc_nulls_last()
+    within = F.row_number().over(Window.partitionBy("quern_part").orderBy(order, F.col(tie)))
+    out = laid.withColumn("quern_row", within).join(F.broadcast(base), "quern_part")
+    return out.withColumn(name, (F.col("quern_base") + F.col("quern_row")).cast("bigint")).drop("quern_part", "quern_base", "quern_row")
+
+
 def compare_any(left: DataFrame, value: str, op: str, right: DataFrame, other: str) -> DataFrame:
     """Rows for which value op ANY (right) is true: for order comparisons one bound of the right side decides."""
     return _bounded(left, value, op, right, other, {"<": F.max, "<=": F.max, ">": F.min, ">=": F.min}, every=False)
@@ -39,6 +61,11 @@ def _bounded(left: DataFrame, value: str, op: str, right: DataFrame, other: str,
         nulls = right.agg(F.count("*").alias("quern_n"), F.count(other).alias("quern_known"))
         kept = left.join(right.select(F.col(other).alias("quern_other")), F.col(value) == F.col("quern_other"), "left_anti").join(F.broadcast(nulls))  # one row
         return kept.filter("quern_n = 0 OR (quern_known = quern_n AND " + value + " IS NOT NULL)").drop("quern_n", "quern_known")
+    if op in ("=", "<>", "!="):  # = ALL and <> ANY: least and most of the right side decide
+        ends = right.agg(F.min(other).alias("quern_low"), F.max(other).alias("quern_high"), F.count("*").alias("quern_n"), F.count(other).alias("quern_known"))  # one row
+        same = (F.col(value) == F.col("quern_low")) & (F.col(value) == F.col("quern_high"))
+        test = (F.col("quern_n") == 0) | ((F.col("quern_n") == F.col("quern_known")) & same) if every else ~same
+        return left.join(F.broadcast(ends)).filter(test).drop("quern_low", "quern_high", "quern_n", "quern_known")
     one = right.agg(bound[op](other).alias("quern_bound"), F.count("*").alias("quern_n"), F.count(other).alias("quern_known"))  # one row
     test = F.expr(f"{value} {op} quern_bound")
     if every:

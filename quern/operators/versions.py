@@ -14,7 +14,19 @@ def as_of(versions: DataFrame, at: Column, since: str = "valid_from", until: str
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update: Sequence[str] | None = None) -> DataFrame:
-    """INSERT ... ON CONFLICT (keys): with update None DO NOTHING, else DO UPDATE SET c = excluded.c. One full join on the keys."""
+    """INSERT ... ON CONFLICT (keys): with update None DO NOTHING, else DO UPDATE SET c = excluded.c. One full join on the keys.
+
+    Rows of source that share a key come one after another: the first is inserted where the key is new, later ones update
+    it or do nothing. A key with a null in it conflicts with none.
+    """
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    row = F.struct(*source.columns)
+    at = source.withColumn("quern_at", F.monotonically_increasing_id())
+    ends = at.filter(known).groupBy(*[F.col(k).alias(f"quern_{k}") for k in keys]).agg(F.min_by(row, "quern_at").alias("first"), F.max_by(row, "quern_at").alias("last"))
+    once = ends.select(*[F.col(f"{'last' if c in (update or ()) else 'first'}.{c}").alias(c) for c in source.columns])
+    source = once.unionByName(source.filter(~known))
     new = source.select(*[F.col(c).alias(f"new_{c}") for c in source.columns], F.lit(True).alias("new_row"))
     same = [F.col(k) == F.col(f"new_{k}") for k in keys]
     joined = target.withColumn("old_row", F.lit(True)).join(new, same, "full")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern import session
+from quern.plans import dialect
 from quern.sources.tables import TABLES, register
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +37,7 @@ def same(name: str, sql: str, oracle: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         session.apply(spark)
         register(spark, sf_dir, *[t for t in TABLES if re.search(rf"\b{t}\b", sql)])
-        return spark.sql(sql)
+        return dialect.run(spark, sql)
 
     run.__name__ = name
     QUERIES[name] = run

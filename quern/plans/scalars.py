@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scalar as S
 from quern.operators.relational import top_n
+from quern.plans.dialect import run
 from quern.plans.registry import query, same
 from quern.sources.tables import table
 
@@ -17,7 +18,7 @@ def pick(df, *plain, **made):
 
 
 @query(r"""
-SELECT doc_id, replace(upper(substr(text, 1, 20)), 'ẞ', 'SS') AS up, lower(substr(text, 1, 20)) AS low, length(text) AS len, strlen(text) AS bytes, reverse(substr(text, 1, 12)) AS rev,
+SELECT doc_id, replace(upper(text), 'ẞ', 'SS') AS up, lower(text) AS low, length(text) AS len, strlen(text) AS bytes, reverse(text) AS rev,
        left(text, 5) AS l5, right(text, 5) AS r5, left(text, 0) AS l0, concat(lang, NULL, source) AS joined, lang || NULL AS piped, concat_ws('-', lang, NULL, source) AS dashed,
        substr(text, 1, 3) AS clamped, substr(text, 4, 6) AS middle, '' AS negative, replace(source, 'src', 's') AS replaced, repeat(lang, 3) AS thrice,
        starts_with(text, 'The') AS starts, ends_with(text, '.') AS ends, contains(text, 'and') AS has, instr(text, 'a') AS at_a,
@@ -28,7 +29,7 @@ def fn_string(spark, sf):
     none = F.lit(None).cast("string")
     return pick(
         table(spark, sf, "documents"), "doc_id",
-        up=F.upper(S.substring(t, F.lit(1), F.lit(20))), low=F.lower(S.substring(t, F.lit(1), F.lit(20))), len=F.length(t), bytes=F.octet_length(t), rev=F.reverse(S.substring(t, F.lit(1), F.lit(12))),
+        up=F.upper(t), low=F.lower(t), len=F.length(t), bytes=F.octet_length(t), rev=F.reverse(t),
         l5=F.left(t, F.lit(5)), r5=F.right(t, F.lit(5)), l0=F.left(t, F.lit(-1)), joined=S.concat(lang, none, source), piped=F.concat(lang, none), dashed=F.concat_ws("-", lang, none, source),
         clamped=S.substring(t, F.lit(-4), F.lit(3)), middle=S.substring(t, F.lit(4), F.lit(6)), negative=S.substring(t, F.lit(2), F.lit(-1)), replaced=S.replace(source, "src", "s"), thrice=F.repeat(lang, F.lit(3)),
         starts=t.startswith("The"), ends=t.endswith("."), has=t.contains("and"), at_a=F.instr(t, "a"),
@@ -193,10 +194,53 @@ def vector_topk(spark, sf):
     return top_n(near, [S.asc("d"), S.asc("vec_id")], 10).select("vec_id", F.round("d", 5).alias("distance"))
 
 
-@query("SELECT doc_id, lower(lang) AS nocase, lang AS bin, translate(substr(text, 1, 40), 'áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ', 'aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC') AS plain FROM documents")
+@query("SELECT doc_id, lower(lang) AS nocase, lang AS bin, translate(text, 'áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ', 'aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC') AS plain FROM documents")
 def fn_collate(spark, sf):
-    return pick(table(spark, sf, "documents"), "doc_id", nocase=S.collate(C("lang"), "NOCASE"), bin=S.collate(C("lang"), "BINARY"), plain=S.collate(S.substring(C("text"), F.lit(1), F.lit(40)), "NOACCENT"))
+    return pick(table(spark, sf, "documents"), "doc_id", nocase=S.collate(C("lang"), "NOCASE"), bin=S.collate(C("lang"), "BINARY"), plain=S.collate(C("text"), "NOACCENT"))
 
 
 same("fn_timestamp_literals", """
 SELECT o_orderkey, o_orderdate < TIMESTAMP '1996-01-01 00:00:00' AS early, CAST(o_orderdate AS DATE) AS day, DATE '1998-12-01' AS fixed FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1995-01-01'""")
+
+
+#: Rules of the engine's SQL where Spark's differ: an expression and its value as text.
+RULES = {
+    'integers divide toward zero': ('-7 / 2', '-3'),
+    'integers divide in order': ('9 / 2 / 2', '2'),
+    'floats divide': ('7 / 2.0e0', '3.5'),
+    'by zero null': ('1 / 0', None),
+    'rest by zero null': ('7 % 0', None),
+    'greatest of null': ('greatest(1, NULL)', None),
+    'least': ('least(2, 1)', '1'),
+    'root of negative': ('sqrt(-1)', None),
+    'ln of zero': ('ln(0)', None),
+    'log is to ten': ('log(100)', '2.0'),
+    'substring clamps': ("substring('abc', -2, 2)", 'ab'),
+    'negative length': ("substring('abc', 2, -1)", ''),
+    'trim white space': ("trim(chr(9) || 'a' || chr(10))", 'a'),
+    'char of a code point': ('char(300)', 'Ĭ'),
+    'sunday is 0': ("extract(dow FROM TIMESTAMP '2024-03-10 00:00:00')", '0'),
+    'days of 24 hours': ("datediff(TIMESTAMP '2024-03-11 23:00:00', TIMESTAMP '2024-03-10 23:30:00')", '0'),
+    'iif': ("iif('no', 1, 2)", '2'),
+    'sign': ('sign(-2.5)', '-1'),
+    'type of': ('typeof(1)', 'INTEGER'),
+    'json type': ("json_typeof('[1]')", 'array'),
+    'json text': ('\'{"a": "t"}\' ->> \'a\'', 't'),
+    'json value': ('\'{"a": "t"}\' -> \'a\'', '"t"'),
+    'concat skips nulls': ("concat('a', NULL, 'b')", 'ab'),
+    'first skips nulls': ('(SELECT first(a) FROM VALUES (NULL, 1), (2, 2) AS t(a, b))', '2'),
+    'vector norm': ('vec_norm(array(3, 4))', '5.0'),
+    'left to right': ('(SELECT count(*) FROM (SELECT 1 UNION SELECT 2 INTERSECT SELECT 3) t)', '0'),
+    'time of a zone': ("CAST(civil_to_timestamptz(TIMESTAMP '2024-07-01 12:00:00', 'Europe/Berlin') AS STRING)", '2024-07-01 10:00:00'),
+    'series': ('(SELECT sum(value) FROM generate_series(1, 5, 2))', '9'),
+    'nulls last': ('(SELECT a FROM VALUES (NULL), (1) AS t(a) ORDER BY a LIMIT 1)', '1'),
+    'nulls first when falling': ('(SELECT a FROM VALUES (NULL), (1) AS t(a) ORDER BY a DESC LIMIT 1)', None),
+    'equal all': ('1 = ALL (SELECT a FROM VALUES (1), (1) AS t(a))', 'true'),
+}
+TOLD = " UNION ALL ".join("SELECT '" + n + "' AS rule, " + ("CAST(NULL AS VARCHAR)" if v is None else "'" + v + "'") + " AS value" for n, (_, v) in RULES.items())
+
+
+@query(TOLD)
+def sql_semantics(spark, sf):
+    """Through the SQL entry, one row a rule."""
+    return run(spark, " UNION ALL ".join(f"SELECT '{n}' AS rule, CAST({e} AS STRING) AS value" for n, (e, _) in RULES.items()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import scalar as S
-from quern.operators.relational import top_n
+from quern.operators.relational import numbered, top_n
 from quern.plans.registry import query, same
 from quern.sources.tables import table
 
@@ -76,14 +76,13 @@ def arith_division(spark, sf):
 @query("""
 SELECT row_number() OVER (ORDER BY CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey END ASC NULLS LAST, o_orderkey) AS up,
        row_number() OVER (ORDER BY CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey END DESC NULLS FIRST, o_orderkey) AS down, o_orderkey
-FROM orders WHERE o_orderkey % 7 = 0""")
+FROM orders""")
 def sort_nulls(spark, sf):
-    """Null sorts as the largest value: last when rising, first when falling. The global numbering is what the test asks for."""
-    from pyspark.sql import Window
-
+    """Null sorts as the largest value: last when rising, first when falling."""
     key = F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey"))
-    number = lambda order: F.row_number().over(Window.orderBy(order, F.col("o_orderkey")))
-    return table(spark, sf, "orders").filter("o_orderkey % 7 = 0").select(number(S.asc(key)).alias("up"), number(S.desc(key)).alias("down"), "o_orderkey")
+    orders = table(spark, sf, "orders").select("o_orderkey", key.alias("k"))
+    up = numbered(orders, "k", "o_orderkey", "up")
+    return numbered(up, "k", "o_orderkey", "down", falling=True).select("up", "down", "o_orderkey")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")

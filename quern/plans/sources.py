@@ -71,6 +71,33 @@ def upsert_do_nothing(spark, sf):
     return V.upsert(c, new, ["c_custkey"])
 
 
+REPEATED = """
+WITH s AS (SELECT c_custkey AS k, c_acctbal AS v, 0 AS step FROM customer
+           UNION ALL SELECT c_custkey, c_acctbal + 1, 1 FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey + 50000000, 5.0, 1 FROM customer
+           UNION ALL SELECT c_custkey, c_acctbal + 2, 2 FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT c_custkey + 50000000, 6.0, 2 FROM customer WHERE c_custkey % 3 = 0)
+"""
+
+
+def repeated(spark, sf):
+    """Rows to insert in which keys come twice, and new keys too; one partition, as the order of rows counts."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    new = lambda v: c.select((C("c_custkey") + 50000000).alias("c_custkey"), F.lit(v).alias("c_acctbal"))
+    more = lambda n: c.filter(f"c_custkey % {2 * n} = 0").withColumn("c_acctbal", C("c_acctbal") + n)
+    return c, more(1).unionAll(new(5.0)).unionAll(more(2)).unionAll(new(6.0).filter("(c_custkey - 50000000) % 3 = 0"))
+
+
+@query(REPEATED + "SELECT k AS c_custkey, arg_max(v, step) AS c_acctbal FROM s GROUP BY k")
+def upsert_repeated_keys(spark, sf):
+    c, rows = repeated(spark, sf)
+    return V.upsert(c, rows, ["c_custkey"], ["c_acctbal"])
+
+
+@query(REPEATED + "SELECT k AS c_custkey, arg_min(v, step) AS c_acctbal FROM s GROUP BY k")
+def upsert_nothing_repeated(spark, sf):
+    c, rows = repeated(spark, sf)
+    return V.upsert(c, rows, ["c_custkey"])
+
+
 @query("SELECT s_suppkey, CASE WHEN nullif(s_nationkey, 3) > 12 THEN s_acctbal * 2 ELSE s_acctbal END AS s_acctbal FROM supplier")
 def update_rewrite(spark, sf):
     s = table(spark, sf, "supplier")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quern.functions import aggregate as A
 from quern.functions import scalar as S
 from quern.plans.registry import query, same
 from quern.sources.tables import table
@@ -19,9 +20,15 @@ FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custke
 same("win_lead_lag", """
 SELECT conv_id, turn, lag(role) OVER w AS before, lead(role, 2, 'none') OVER w AS after_two, lag(turn, 1, -1) OVER w AS last_turn
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
-same("win_lead_default_row", """
-SELECT conv_id, turn, CASE WHEN lead(turn) OVER w IS NULL THEN turn * 10 ELSE lead(turn) OVER w END AS next_turn
-FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+
+
+@query("SELECT conv_id, turn, lead(turn, 1, turn * 10) OVER w AS next_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def win_lead_default_row(spark, sf):
+    """The default of LEAD is a value of the row, which Spark's own does not take."""
+    w = Window.partitionBy("conv_id").orderBy(S.asc("turn"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", A.lead_or(F.col("turn"), 1, F.col("turn") * 10, w).alias("next_turn"))
+
+
 same("win_first_last_nth", """
 SELECT o_orderkey, first_value(o_totalprice) OVER w AS first_price,
        last_value(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_price,
@@ -48,12 +55,16 @@ SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS total, rou
        rank() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC, o_orderpriority) AS place
 FROM orders GROUP BY o_orderstatus, o_orderpriority""")
 same("win_null_partition", """
-SELECT o_orderkey, count(*) OVER (PARTITION BY nullif(o_orderstatus, 'O')) AS n FROM orders WHERE o_orderkey % 5 = 0""")
+SELECT o_orderkey, count(*) OVER (PARTITION BY nullif(o_orderstatus, 'O')) AS n FROM orders""")
 
 
 @query("SELECT event_id, count(DISTINCT event_type) OVER (PARTITION BY user_id) AS kinds FROM events")
 def win_count_distinct(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.size(F.collect_set("event_type").over(Window.partitionBy("user_id"))).cast("bigint").alias("kinds"))
+    """Ranks count the distinct values, so that no partition is held in one array."""
+    mine = Window.partitionBy("user_id")
+    ranked = table(spark, sf, "events").withColumn("place", F.when(F.col("event_type").isNotNull(), F.dense_rank().over(mine.orderBy(S.asc("event_type")))))
+    kinds = F.coalesce(F.max("place").over(mine), F.lit(0)).cast("bigint")
+    return ranked.select("event_id", kinds.alias("kinds"))
 
 
 @query("""

@@ -11,7 +11,6 @@ SEMANTICS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.cteRecursionLevelLimit": "10000",
-    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 

@@ -1,12 +1,14 @@
 """A small catalogue of versioned tables: Parquet folders beside one JSON file each, on any file system Spark reaches.
 
-Every change writes a whole new version and then swaps the JSON file by a rename, so readers see the state before or
-after it and lost executors leave nothing half done. Versions stay, which is what AS OF reads.
+Every change writes a whole new version and then a JSON file of the next number, which must not be there yet: readers take
+the file of the highest number and so see the state before or after a change, and of two writers one fails. Versions
+stay, which is what AS OF reads.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections.abc import Sequence
@@ -45,10 +47,10 @@ class Catalog:
 
     # metadata
     def entry(self, name: str) -> Entry:
-        path = self._path(f"{name.lower()}.json")
-        if not self.fs.exists(path):
+        number = self._numbers().get(name.lower())
+        if number is None:
             raise ValueError(f"no table {name}")
-        stream = self.fs.open(path)
+        stream = self.fs.open(self._path(f"{name.lower()}.{number:09d}.json"))
         try:
             return Entry(**json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
         finally:
@@ -59,14 +61,22 @@ class Catalog:
         out = self.fs.create(new)
         out.write(bytearray(json.dumps(asdict(entry)).encode()))
         out.close()
-        target = self._path(f"{entry.name}.json")
-        if self.fs.exists(target):
-            self.fs.delete(target, False)
-        if not self.fs.rename(new, target):
-            raise OSError(f"{entry.name} could not be changed")
+        target = self._path(f"{entry.name}.{len(entry.versions):09d}.json")
+        if self.fs.exists(target) or not self.fs.rename(new, target):
+            self.fs.delete(new, False)
+            raise OSError(f"{entry.name} was changed by another writer")
+
+    def _numbers(self) -> dict[str, int]:
+        """The highest number of each table's files."""
+        found: dict[str, int] = {}
+        for status in self.fs.listStatus(self._path("")):
+            name, *number = status.getPath().getName().rsplit(".", 2)
+            if len(number) == 2 and number[1] == "json" and number[0].isdigit():
+                found[name] = max(found.get(name, 0), int(number[0]))
+        return found
 
     def tables(self) -> list[str]:
-        return sorted(s.getPath().getName()[:-5] for s in self.fs.listStatus(self._path("")) if s.getPath().getName().endswith(".json"))
+        return sorted(self._numbers())
 
     def show_tables(self) -> DataFrame:
         return self.spark.createDataFrame([(n,) for n in self.tables()], "table_name string")
@@ -94,7 +104,9 @@ class Catalog:
 
     def drop(self, name: str) -> None:
         entry = self.entry(name)
-        self.fs.delete(self._path(f"{entry.name}.json"), False)
+        for status in self.fs.listStatus(self._path("")):
+            if re.fullmatch(re.escape(entry.name) + r"\.\d+\.json", status.getPath().getName()):
+                self.fs.delete(status.getPath(), False)
         self.fs.delete(self._path(f"{entry.name}.data"), True)
 
     def add_column(self, name: str, column: str, kind: T.DataType, default: str | None = None) -> None:

@@ -20,8 +20,11 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[(to_boolean(F.col(f.name)) if isinstance(f.dataType, T.BooleanType) else F.col(f.name).cast(f.dataType)).alias(f.name) for f in schema])
 
 
-def copy_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True, delimiter: str = ",", null: str = "", columns: list[str] | None = None) -> DataFrame:
-    """COPY ... WITH (FORMAT CSV): columns of the table that the file lacks are null; names of the header are checked."""
+def copy_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True, delimiter: str = ",", null: str = "", columns: list[str] | None = None, line_breaks: bool = False) -> DataFrame:
+    """COPY ... WITH (FORMAT CSV): columns of the table that the file lacks are null; names of the header are checked.
+
+    With line_breaks, values may hold some; a file is then read by one task, else by as many as it has splits.
+    """
     names = columns or schema.fieldNames()
     if header:
         first = spark.read.text(path).filter("length(value) > 0").first()
@@ -30,7 +33,7 @@ def copy_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool
         if unknown:
             raise ValueError(f"the file has columns that the table lacks: {unknown}")
         names = [next(n for n in schema.fieldNames() if n.lower() == c) for c in found] or names
-    raw = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path, header=header, sep=delimiter, nullValue=null, mode="FAILFAST", enforceSchema=True, escape='"', multiLine=True)
+    raw = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path, header=header, sep=delimiter, nullValue=null, mode="FAILFAST", enforceSchema=True, escape='"', multiLine=line_breaks)
     return typed(raw.select(*[F.col(n) if n in names else F.lit(None).cast("string").alias(n) for n in schema.fieldNames()]), schema)
 
 
