@@ -20,7 +20,7 @@ SENTENCES = {
     "mit-warranty": r'the software is provided "?as is"?, without warranty of any kind.*',
     "apache-2-name": r"(this (work|software|project|file|code) is )?(released|licen[sc]ed|distributed) under (the )?(terms of the )?apache licen[sc]e,? (version )?2(\.0)?( \(the \"licen[sc]e\"\))?",
     "apache-2-comply": r"you may not use this file except in compliance with the licen[sc]e",
-    "gpl-name-version": r"(this (work|software|program|project|file|code) is )?(released|licen[sc]ed|distributed) under (the )?(terms of the )?gnu general public licen[sc]e,? (version|v) ?(?P<gpl>[123])(\.0)?( or (any )?later( version)?)?",
+    "gpl-name-version": r"(this (work|software|program|project|file|code) is )?(released|licen[sc]ed|distributed) under (the )?(terms of the )?(gnu general public licen[sc]e|(gnu )?gpl),? ?(version |v ?)?(?P<gpl>[123])(\.0)?(?P<later>,? or (\(at your option\) )?(any )?later( version)?)?",
     "gpl-free": r"this program is free software[:;] you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e .*",
     "gpl-version": r"(.* )?either version (?P<gplv>[123]) of the licen[sc]e, or \(at your option\) any later version",
     "lgpl-name": r"(this \w+ is )?(released|licen[sc]ed|distributed) under (the )?(terms of the )?gnu (lesser|library) general public licen[sc]e.*",
@@ -43,7 +43,7 @@ RULES = (
     (("bsd-redistribute", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
     (("apache-2-name", "apache-2-comply"), "Apache-2.0"),
     (("gpl-free", "gpl-version"), "GPL-{gplv}.0-or-later"),
-    (("gpl-name-version",), "GPL-{gpl}.0"),
+    (("gpl-name-version",), "GPL-{gpl}.0{later}"),
     (("gpl-free",), "GPL"),
     (("lgpl-name",), "LGPL"),
     (("apache-2-name",), "Apache-2.0"),
@@ -51,13 +51,14 @@ RULES = (
     (("cc-name",), "CC-{cc}-{ccv}"),
     (("cc0-name",), "CC0-1.0"),
     (("mpl-name",), "MPL-2.0"),
+    (("spdx",), "{spdx}"),
     (("copyright", "all-rights"), "Proprietary"),
     (("all-rights",), "Proprietary"),
 )
 GAP = 2
 HEAD = ("copyright", "all-rights")
 #: Every pattern implies one of these, on whatever lines its words stand.
-WORDS_OF_INTEREST = re.compile(r"licen[sc]|reserved|redistribut|permission|warrant|copyright|\(c\)|©|cc0|\bcc\b|creative|domain|endorse", re.IGNORECASE)
+WORDS_OF_INTEREST = re.compile(r"licen[sc]|\bgpl|reserved|redistribut|permission|warrant|copyright|\(c\)|©|cc0|\bcc\b|creative|domain|endorse", re.IGNORECASE)
 #: A full stop ends a sentence, but not in `v. 2.0` nor after a list's number.
 END = re.compile(r"(?:(?<!\bv)\.|(?<=\bv)\.(?!\s*\d)|[!?])(?=\s|$)|;(?=\s)|\n", re.IGNORECASE)
 NUMBER = re.compile(r"[\s#*/;>%\-]*\d{1,2}\.")
@@ -65,8 +66,15 @@ DECORATION = re.compile(r"^[\s#*/;>%\-]+|[\s*/]+$")
 CLOSING = ".!?,;: "
 #: A notice of one line, whose pattern would take in any line with a year after it.
 ONE_LINE = "copyright"
-#: May begin amid a line.
-AMID, AMID_WORDS = "gpl-version", "either version"
+#: Words with which known sentences may also begin amid a line, as where a whole notice stands on one.
+AMID = {
+    "mit-grant": "permission is hereby granted", "mit-notice": "the above copyright notice and this permission notice", "mit-warranty": "the software is provided",
+    "apache-2-name": "licen[sc]ed under the apache", "apache-2-comply": "you may not use this file", "bsd-redistribute": "redistribution and use in source",
+    "gpl-free": "this program is free software", "gpl-version": "either version", "mpl-name": "this source code form is subject",
+}
+#: A tag of one line whose value is an expression over identifiers; exceptions are no licences.
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\n]*)", re.IGNORECASE)
+SPDX_ID = re.compile(r"(?<!WITH )(?<![\w.+-])(?!(?:AND|OR|WITH|NONE|NOASSERTION)\b)[A-Za-z][\w.-]*\+?")
 
 
 @lru_cache(maxsize=1)
@@ -113,11 +121,11 @@ def identify(text: str) -> list[tuple[int, int, int, str, dict]]:
         joined = " ".join(words)
         ends = list(accumulate((len(w) + 1 for w in words), initial=-1))[1:]
         starts = [e - len(w) for e, w in zip(ends, words, strict=True)]
-        amid = {bisect_left(ends, m.start() + 1) for m in re.finditer(AMID_WORDS, joined)}
         hits = []  # first piece, last piece, identifier, named parts, open
-        for i, start in enumerate(starts):
+        amid = {(bisect_left(ends, m.start() + 1), m.start(), name) for name, begins in AMID.items() for m in re.finditer(rf"\b{begins}", joined)}
+        for i, start, only in sorted({(i, start, "") for i, start in enumerate(starts)} | {a for a in amid if a[1] not in starts}):
             for name, pattern, is_open in patterns():
-                if name == AMID and i not in amid:
+                if only not in ("", name):
                     continue
                 m = pattern.match(joined, start, ends[i] if name == ONE_LINE else len(joined))
                 if not m:
@@ -159,7 +167,7 @@ def claims(known: list[tuple[int, int, int, str, dict]]) -> list[tuple[str, int,
                 elif not took:
                     break
             if len(took) == len(names):
-                parts = {k: v for j in took for k, v in known[j][4].items() if v}
+                parts = {k: "-or-later" if k == "later" else v for j in took for k, v in known[j][4].items() if v}
                 for j in took:
                     free[j] = False
                 if names == HEAD and any(0 <= first - known[took[-1]][0] <= GAP + 1 and start > known[took[-1]][1] for first, start in ((o[3], o[1]) for o in out if o[0] != licence)):
@@ -169,8 +177,14 @@ def claims(known: list[tuple[int, int, int, str, dict]]) -> list[tuple[str, int,
     return sorted((x[:3] for x in out), key=lambda x: (x[1], x[2], x[0]))
 
 
+def tags(text: str) -> list[tuple[int, int, int, str, dict]]:
+    """Identifiers of licence tags, each as a sentence of its own before all others."""
+    found = [(m, i) for m in SPDX.finditer(text) for i in SPDX_ID.findall(m[1])]
+    return [(-1, m.start(), m.end(), "spdx", {"spdx": i.removesuffix("+") + "-or-later" * i.endswith("+")}) for m, i in found]
+
+
 def known_sentences(text: str | None) -> list[tuple[int, int, int, str, dict]]:
-    return identify(text) if text and WORDS_OF_INTEREST.search(text) else []
+    return [*tags(text), *identify(text)] if text and WORDS_OF_INTEREST.search(text) else []
 
 
 def scan(text: str | None) -> list[tuple[str, int, int]]:

@@ -314,7 +314,7 @@ def test_one_line_notices_among_lines():
 KNOWN = {
     "mit-name": ("Available under the MIT License", ["MIT"]), "mit-grant": (MIT.split("\n\n")[2], []), "mit-notice": (MIT.split("\n\n")[3], []), "mit-warranty": (MIT.split("\n\n")[4], []),
     "apache-2-name": ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]), "apache-2-comply": ("You may not use this file except in compliance with the License.", []),
-    "gpl-name-version": ("Released under GNU General Public License v2 or later.", ["GPL-2.0"]), "gpl-free": (GPL.replace("either version 3", "any version"), ["GPL"]), "gpl-version": ("Use either version 2 of the License, or (at your option) any later version.", []),
+    "gpl-name-version": ("Released under GNU General Public License v2 or later.", ["GPL-2.0-or-later"]), "gpl-free": (GPL.replace("either version 3", "any version"), ["GPL"]), "gpl-version": ("Use either version 2 of the License, or (at your option) any later version.", []),
     "lgpl-name": ("This library is licensed under the GNU Lesser General Public License.", ["LGPL"]),
     "bsd-redistribute": (BSD.split("\n\n")[1], []), "bsd-source": (BSD.split("\n\n")[2], []), "bsd-binary": (BSD.split("\n\n")[3], []), "bsd-endorse": (BSD.split("\n\n")[4], []),
     "cc-name": ("Released under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]), "cc0-name": ("This work is dedicated to the public domain.", ["CC0-1.0"]),
@@ -330,6 +330,23 @@ def test_every_licence_sentence_is_known(name):
         assert [x[0] for x in licences.scan(t)] == found
 
 
+def on_one_line(text):
+    return " ".join(text.split())
+
+
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+@pytest.mark.parametrize("text, found", [
+    (on_one_line(MIT), ["MIT"]), (on_one_line(APACHE), ["Apache-2.0"]), (on_one_line(BSD), ["BSD-3-Clause"]), (MPL, ["MPL-2.0"]), (on_one_line(MPL), ["MPL-2.0"]), (on_one_line(GPL), ["GPL-3.0-or-later"]),
+    ("Released under the GNU General Public License version 2 or any later version.", ["GPL-2.0-or-later"]), ("Licensed under the GPL version 2.", ["GPL-2.0"]), ("This program is licensed under GPLv3.", ["GPL-3.0"]),
+    ("SPDX-License-Identifier: MIT", ["MIT"]), ("// SPDX-License-Identifier: Apache-2.0 OR MIT\nint x;", ["Apache-2.0", "MIT"]), ("# SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0)", ["GPL-2.0-or-later"]), ("SPDX-License-Identifier: GPL-2.0+\n", ["GPL-2.0-or-later"]),
+])
+def test_notices_on_one_line_and_tags(text, found):
+    assert [x[0] for x in licences.scan(text)] == found
+    assert [x[0] for x in licences.scan(f"Some words.\n\n{text}")] == found
+
+
 def test_known_sentences_count_without_a_licence(spark):
     rows = [(1, MIT.split("\n\n")[4]), (2, "Nothing. Of interest."), (3, None)]
     got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
