@@ -31,7 +31,7 @@ ROWS = [
 def docs(spark):
     """Columns that clash with what the operators make, too."""
     df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string")
-    return df.withColumns({c: F.lit("clash") for c in ("row", "score", "kept", "id", "n_tokens", "component", "class", "task", "key", "ids")})
+    return df.withColumns({c: F.lit("clash") for c in ("row", "score", "kept", "id", "n_tokens", "component", "class", "task", "key", "ids", "gone", "kept_id", "kept_digest", "tk", "bucket", "comp", "grp", "rank", "quern", "quern_sha")})
 
 
 def test_empty_tables(docs):
@@ -74,6 +74,9 @@ def test_exact_dedup(docs):
             assert [r.doc_id for r in mine if r.kept] == [best]
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
+    alone = docs.filter("doc_id IS NOT NULL AND doc_id <> 9")  # ids tell rows apart
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(alone).collect()) == [2, 4, 5, 6, 7, 8, 10, 11, 13, 14]
+    assert exact_dedup.drop_copies(docs.limit(0)).count() == 0
 
 
 def brute_components(rows):
@@ -117,7 +120,9 @@ def test_near_dedup(spark, docs, block):
         else:
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
     assert len({want[i] for i, _ in chain}) < len(chain)
-    assert near_dedup.drop_near_copies(more, text="text").columns == ["doc_id", "text"]
+    if block == 256:
+        left = near_dedup.drop_near_copies(docs)
+        assert left.columns == docs.columns and collections.Counter(r.doc_id for r in left.collect())[9] == 0 and left.filter("doc_id IS NULL").count() == 1
 
 
 def test_near_dedup_between_the_limits(spark):
@@ -186,6 +191,8 @@ def test_line_frequency(spark):
 
 def test_packing(docs):
     library = Tokenizer.from_file(package_path("word_bpe_49k.json"))
+    twice = collections.Counter((r.start, r.length, r.ids_crc32) for r in packing.pack(docs.filter("doc_id = 9")).collect())
+    assert twice and set(twice.values()) == {2}
     rows = packing.pack(docs.filter("doc_id IS NULL OR doc_id <> 9")).collect()
     ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t, _, _ in ROWS}
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
@@ -396,3 +403,91 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= s <= 1 for s in model.scores(["", None, "x", LONG]))
     spans = quality.chunks_of(b"x" * 2000)
     assert spans[0][0] == 0 and spans[-1][1] == 2000 and all(b[0] < a[1] for a, b in zip(spans, spans[1:]))
+
+
+def test_classifiers_and_rules_on_awkward_rows(docs):
+    """Nulls, empty texts, repeated rows, null ids and clashing columns: one result a row, alike for alike texts."""
+    model = quality.fit([(1, BASE), (0, "x x x x"), (1, BASE + " more"), (0, "!!! ???")])
+    words = language.fit([("en", BASE), ("fr", "ÀÉ é É"), ("en", "Hello World")])
+    ids = collections.Counter(i for i, *_ in ROWS)
+    judged, named, ruled = quality.classify(docs, model), language.identify(docs, words), line_rules.line_rules(docs)
+    for df in (judged, named, ruled):
+        assert collections.Counter(r.doc_id for r in df.collect()) == ids
+        assert df.filter("doc_id = 9").drop("doc_id").distinct().count() == 1
+    by_text = {t: (model.scores([t])[0] >= 0.7, not words.predict([t])[2][0]) for _, t, *_ in ROWS}
+    for place, df in enumerate((quality.keep_good(docs, model), language.keep_identified(docs, words))):
+        assert df.columns == docs.columns
+        assert collections.Counter(r.doc_id for r in df.collect()) == collections.Counter(i for i, t, *_ in ROWS if by_text[t][place])
+        assert quality.keep_good(docs.limit(0), model).count() == 0
+    assert line_rules.keep_clean(docs).columns == docs.columns
+
+
+def test_convolution_by_plain_loops():
+    """The score of a document, filter by filter and window by window."""
+    rng = __import__("random").Random(6)
+    model = quality.fit([(1, "the quiet river runs " * 30), (0, "buy now !!! $$$ " * 30), (1, BASE), (0, "x" * 700)], epochs=2)
+    for text in ("", "short", "é" * 300, "".join(rng.choice("abc de!$") for _ in range(1300))):
+        data, logits = text.encode(), []
+        for a, b in quality.chunks_of(data):
+            part = data[a:b] + bytes(quality.WIDTH + quality.CHUNK)
+            windows = range(0, max(b - a, 1), quality.STEP)
+            best = [max(sum(float(model.table[j, part[w + j], f]) for j in range(quality.WIDTH)) for w in windows) + float(model.bias[f]) for f in range(quality.FILTERS)]
+            x = [max(v, 0) for v in best] + [math.log2(1 + b - a) / 9]
+            hidden = [max(sum(x[i] * float(model.hidden[i, h]) for i in range(len(x))) + float(model.hidden_bias[h]), 0) for h in range(quality.HIDDEN)]
+            logits.append(min(max(sum(v * float(o) for v, o in zip(hidden, model.out)) + float(model.out_bias[0]), -12), 12))
+        want = 1 / (1 + math.exp(-(model.slope * sum(logits) / len(logits) + model.shift)))
+        assert abs(model.scores([text])[0] - want) < 1e-3
+
+
+def test_decoding_of_codewords_by_plain_loops():
+    """The language whose codeword loses least over all bits, from the classifiers' sides."""
+    texts = ["der hund und die katze", "the dog and the cat", "le chien et le chat", "el perro y el gato", "il cane e il gatto", "de hond en de kat"]
+    model = language.fit([(f"l{i}", t * 3) for i, t in enumerate(texts)])
+    x, _ = language.features(texts)
+    for n, text in enumerate(texts):
+        losses = []
+        for word in model.codes:
+            sides = [sum(float(x[n, c]) * float(model.weights[c, b]) for c in x[n].nonzero()[0]) + float(model.bias[b]) for b in range(len(word))]
+            losses.append(sum(float(model.trust[b]) * math.log1p(math.exp(-sides[b] * word[b])) for b in range(len(word))))
+        least = min(losses)
+        (lang,), (score,), _ = model.predict([text])
+        assert lang == f"l{losses.index(least)}" == f"l{n}" and abs(score - 1 / sum(math.exp(least - v) for v in losses)) < 1e-3
+
+
+def test_near_pairs_just_above_the_limit_share_a_bucket_and_pass_the_signatures():
+    """Recall of banding and of the cut on signatures, over planted pairs at 85 to 88 %."""
+    import numpy as np
+
+    rng, pairs = np.random.default_rng(8), 1500
+    sets = []
+    for _ in range(pairs):
+        n = int(rng.integers(60, 400))
+        other = int(n * (1 - float(rng.uniform(0.851, 0.88))) / 2)  # each side's own part of the union
+        union = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets += [union[other:], union[: n - other]]
+    rows = near_dedup.signatures(sets, 192)
+    bands, width = near_dedup.bands_for(85)
+    one, two = rows[::2], rows[1::2]
+    together = (one[:, : bands * width] == two[:, : bands * width]).reshape(pairs, width, bands).all(1).any(1)
+    sketched = ((one[:, :128] & 255) == (two[:, :128] & 255)).mean(1) >= near_dedup.look_from(85)
+    assert all(near_dedup.linked(np.unique(a), np.unique(b)) for a, b in zip(sets[::2], sets[1::2]))
+    assert together.mean() >= 0.999 and sketched.mean() >= 0.999
+
+
+def test_blocks_of_a_large_bucket_meet_once(spark):
+    """Every pair of rows of different components meets in exactly one sub, whatever the sizes of the blocks."""
+    rows = [(7, i, 0 if i < 40 else i, 10 + i % 5) for i in range(60)] + [(8, i, i % 2, 10) for i in range(5)] + [(9, i, 3, 10) for i in range(5)]
+    got = collections.defaultdict(list)
+    for r in near_dedup.share_out(spark.createDataFrame(rows, "bucket long, id long, comp long, n_shingles long"), 8, 100).collect():
+        got[r.bucket, r.sub].append((r.id, r.comp, r.side))
+    met = collections.Counter()
+    for (bucket, _), members in got.items():
+        assert len(members) <= 40
+        for x in range(len(members)):
+            for y in range(x):
+                (i, c, s), (j, d, t) = members[x], members[y]
+                if c != d and (s != t or s < 0):
+                    met[bucket, min(i, j), max(i, j)] += 1
+    comp = {(b, i): c for b, i, c, _ in rows}
+    want = {(b, i, j) for b, i, c, _ in rows for b2, j, d, _ in rows if b == b2 and i < j and c != d}
+    assert set(met) == want and set(met.values()) == {1} and comp
