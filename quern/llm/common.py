@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import os
 import pathlib
@@ -125,6 +126,15 @@ def slices(lengths: list[int], most: int = STEP_CHARS, most_texts: int = STEP_TE
         yield at, len(lengths)
 
 
+def give_back() -> None:
+    """Returns memory that a task has freed to the system, as its worker lives on and others run beside it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def map_texts(df: DataFrame, function: Callable[[list], dict[str, list]], schema: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", most: int = STEP_CHARS) -> DataFrame:
     """Adds what function makes of each slice of texts (None: null) to the kept columns, one row for one row.
 
@@ -140,6 +150,7 @@ def map_texts(df: DataFrame, function: Callable[[list], dict[str, list]], schema
                 made = function(texts[a:b])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()], names=list(keep) + list(made))
+        give_back()
 
     return df.select(*keep, text).mapInArrow(run, fields)
 
@@ -165,6 +176,7 @@ def filter_texts(df: DataFrame, keeps: Callable[[list], list[bool]], text: str =
         for column in batches:
             texts = column.to_pylist()
             yield pa.array([bool(k) for a, b in slices([len(t or "") for t in texts]) for k in keeps(texts[a:b])], pa.bool_())
+        give_back()
 
     return df.filter(verdict(df[text]))
 

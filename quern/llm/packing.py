@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quern.llm.bpe import Recent
-from quern.llm.common import STEP_RUNS, bound_batches, materialise, package_path, read, slices
+from quern.llm.common import STEP_RUNS, bound_batches, give_back, materialise, package_path, read, slices
 from quern.llm.words import Runs
 
 SEQUENCE, BLOCK, GRAIN, END_ID = 2048, 128, 4, 1
@@ -111,6 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int, block: int, grain: in
                 columns = list(zip(*rows, strict=True))
                 types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64()]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+        give_back()
 
     return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, {PIECE}")
 
