@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,8 +11,9 @@ from pyspark.sql import types as T
 from quern.operators import versions as V
 from quern.operators.relational import generate_series, generate_series_time
 from quern.plans.registry import query, same
+from quern.plans.statements import Engine
 from quern.sources.files import copy_csv, copy_json
-from quern.sources.tables import table
+from quern.sources.tables import register, table
 
 C = F.col
 same("values_source", "SELECT a + 1 AS a, upper(b) AS b FROM (VALUES (1, 'x'), (2, NULL), (3, 'z')) AS t(a, b)")
@@ -115,10 +117,69 @@ def insert_append(spark, sf):
 
 
 def shared_folder(spark) -> str:
+    """A new folder in the one that the cluster shares; a folder of this machine only where the executors are on it."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    import uuid
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{folder.rstrip('/') if folder else 'file://' + tempfile.mkdtemp(prefix='quern-')}/tables-{uuid.uuid4().hex}"
 
-    return f"{folder.rstrip('/') if folder else 'file://' + tempfile.mkdtemp(prefix='quern-')}/copy-{uuid.uuid4().hex}"
+
+def suppliers(spark, sf) -> Engine:
+    """An engine whose catalogue holds supplier and nation, as SQL made them."""
+    engine = Engine(spark, shared_folder(spark))
+    engine.sql("CREATE TABLE land (id INTEGER PRIMARY KEY, name TEXT NOT NULL)")
+    engine.sql("CREATE TABLE firm (id INTEGER PRIMARY KEY, name TEXT NOT NULL, land_id INTEGER REFERENCES land(id), balance FLOAT DEFAULT 0.5, CHECK (id >= 0))")
+    register(spark, sf, "nation", "supplier")
+    engine.sql("INSERT INTO land SELECT n_nationkey, n_name FROM nation")
+    engine.sql("INSERT INTO firm SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+    return engine
+
+
+@query("""
+SELECT s_suppkey AS id, CASE WHEN s_acctbal < 0 THEN s_name || '!' ELSE s_name END AS name, CASE WHEN s_acctbal < 0 THEN -s_acctbal ELSE s_acctbal END AS balance
+FROM supplier WHERE s_nationkey <> 3 UNION ALL SELECT 900001, 'new', 0.5""")
+def sql_changes(spark, sf):
+    engine = suppliers(spark, sf)
+    engine.sql("UPDATE firm SET name = name || '!', balance = -balance WHERE balance < 0")
+    engine.sql("DELETE FROM firm AS f WHERE f.land_id IN (SELECT id FROM land WHERE id = ?)", [3])
+    engine.sql("INSERT INTO firm (id, name, land_id) VALUES (900001, 'new', 1)")
+    return engine.sql("SELECT id, name, balance FROM firm")
+
+
+@query("SELECT s_suppkey AS id, s_acctbal * 2 AS twice FROM supplier WHERE s_nationkey > 12")
+def sql_update_returning(spark, sf):
+    return suppliers(spark, sf).sql("UPDATE firm SET balance = balance * 2 WHERE land_id > 12 RETURNING id, balance AS twice")
+
+
+@query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_acctbal < 1000")
+def sql_delete_returning(spark, sf):
+    return suppliers(spark, sf).sql("DELETE FROM firm WHERE balance < 1000 RETURNING id, name")
+
+
+@query("""
+SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_acctbal > 5000 THEN s_acctbal + 10 ELSE s_acctbal END AS balance FROM supplier
+UNION ALL SELECT s_suppkey + 70000000, 'fresh', 10 FROM supplier WHERE s_acctbal > 5000""")
+def sql_upsert_expression(spark, sf):
+    engine = suppliers(spark, sf)
+    engine.sql("INSERT INTO firm (id, name, balance) SELECT s_suppkey, 'met', 10 FROM supplier WHERE s_acctbal > 5000 UNION ALL SELECT s_suppkey + 70000000, 'fresh', 10 FROM supplier WHERE s_acctbal > 5000 "
+               "ON CONFLICT (id) DO UPDATE SET balance = firm.balance + excluded.balance")
+    return engine.sql("SELECT id, name, balance FROM firm")
+
+
+@query("SELECT n_name AS land, count(*) AS n, count(CASE WHEN s_acctbal >= 3000 THEN 1 END) AS left_over FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
+def sql_as_of(spark, sf):
+    """The first change of firm makes it, the second fills it; paths go over the references that SQL declared."""
+    engine = suppliers(spark, sf)
+    engine.sql("DELETE FROM firm WHERE balance < 3000")
+    return engine.sql("SELECT l.name AS land, count(*) AS n, count(f.id) AS left_over FROM firm AS OF TRANSACTION 2 AS o JOIN land l ON l.id = o.land_id LEFT JOIN firm f ON f.id = o.id GROUP BY l.name")
+
+
+@query("SELECT n_name AS land, sum(s_acctbal) AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0 GROUP BY n_name HAVING sum(s_acctbal) > 5000")
+def sql_view(spark, sf):
+    engine = suppliers(spark, sf)
+    engine.sql("CREATE VIEW solvent AS SELECT f.land_id.name AS land, f.balance FROM firm f WHERE f.balance > 0")
+    engine.sql("CREATE VIEW totals (land, total) AS SELECT land, sum(balance) FROM solvent GROUP BY land")
+    return engine.sql("SELECT land, total FROM totals WHERE total > 5000")
 
 
 CUSTOMER = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType()), T.StructField("rich", T.BooleanType()), T.StructField("c_acctbal", T.DoubleType())])
