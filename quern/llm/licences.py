@@ -22,7 +22,9 @@ SENTENCES = {
     "apache-2-comply": r"you may not use this file except in compliance with the licen[sc]e",
     "gpl-name-version": r"(this (work|software|program|project|file|code) is )?(released|licen[sc]ed|distributed) under (the )?(terms of the )?(gnu general public licen[sc]e|(gnu )?gpl),? ?(version |v ?)?(?P<gpl>[123])(\.0)?(?P<later>,? or (\(at your option\) )?(any )?later( version)?)?",
     "gpl-free": r"this program is free software[:;] you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e .*",
-    "gpl-version": r"(.* )?either version (?P<gplv>[123]) of the licen[sc]e, or \(at your option\) any later version",
+    "gpl-version": r"(.* )?either version (?P<gplv>[123](\.\d)?) of the licen[sc]e, or \(at your option\) any later version",
+    "lesser-free": r"this (program|library) is free software[:;] you can redistribute it and/or modify it under the terms of the gnu (lesser|library) general public licen[sc]e .*",
+    "affero-free": r"this program is free software[:;] you can redistribute it and/or modify it under the terms of the gnu affero general public licen[sc]e .*",
     "lgpl-name": r"(this \w+ is )?(released|licen[sc]ed|distributed) under (the )?(terms of the )?gnu (lesser|library) general public licen[sc]e.*",
     "bsd-redistribute": r"redistribution and use in source and binary forms, with or without modification, are permitted .*",
     "bsd-source": r"(\d[.)] ?)?redistributions of source code must retain the above copyright notice.*",
@@ -31,6 +33,12 @@ SENTENCES = {
     "cc-name": r"(this (work|document|text|article) is )?(released|licen[sc]ed) under (a |the )?(creative commons|cc)[ -](?P<cc>by(-(nc|sa|nd))*)( licen[sc]e)?,? ?(?P<ccv>\d\.\d)?( international)?( licen[sc]e)?",
     "cc0-name": r"(this \w+ is )?(released|dedicated|licen[sc]ed) (under|to) (the )?(cc0|public domain)( 1\.0)?.*",
     "mpl-name": r"this source code form is subject to the terms of the mozilla public licen[sc]e, v\. ?2\.0",
+    "isc-grant": r"permission to use, copy, modify,? (and|and/or) distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "0bsd-grant": r"permission to use, copy, modify,? (and|and/or) distribute this software for any purpose with or without fee is hereby granted(?!,? provided)",
+    "zlib-grant": r"permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.*",
+    "boost-grant": r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation .*",
+    "unlicense": r"this is free and unencumbered software released into the public domain",
+    "epl-name": r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e,? (version |v\. ?|v)?(?P<epl>[12]\.0).*",
     "all-rights": r"all rights reserved",
     "copyright": r"(copyright|\(c\)|©) .*\d{4}.*",
 }
@@ -42,15 +50,25 @@ RULES = (
     (("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"), "BSD-3-Clause"),
     (("bsd-redistribute", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
     (("apache-2-name", "apache-2-comply"), "Apache-2.0"),
-    (("gpl-free", "gpl-version"), "GPL-{gplv}.0-or-later"),
+    (("gpl-free", "gpl-version"), "GPL-{gplv}-or-later"),
+    (("lesser-free", "gpl-version"), "LGPL-{gplv}-or-later"),
+    (("affero-free", "gpl-version"), "AGPL-{gplv}-or-later"),
     (("gpl-name-version",), "GPL-{gpl}.0{later}"),
     (("gpl-free",), "GPL"),
+    (("lesser-free",), "LGPL"),
+    (("affero-free",), "AGPL"),
     (("lgpl-name",), "LGPL"),
     (("apache-2-name",), "Apache-2.0"),
     (("mit-name",), "MIT"),
     (("cc-name",), "CC-{cc}-{ccv}"),
     (("cc0-name",), "CC0-1.0"),
     (("mpl-name",), "MPL-2.0"),
+    (("isc-grant",), "ISC"),
+    (("0bsd-grant",), "0BSD"),
+    (("zlib-grant",), "Zlib"),
+    (("boost-grant",), "BSL-1.0"),
+    (("unlicense",), "Unlicense"),
+    (("epl-name",), "EPL-{epl}"),
     (("spdx",), "{spdx}"),
     (("copyright", "all-rights"), "Proprietary"),
     (("all-rights",), "Proprietary"),
@@ -70,7 +88,9 @@ ONE_LINE = "copyright"
 AMID = {
     "mit-grant": "permission is hereby granted", "mit-notice": "the above copyright notice and this permission notice", "mit-warranty": "the software is provided",
     "apache-2-name": "licen[sc]ed under the apache", "apache-2-comply": "you may not use this file", "bsd-redistribute": "redistribution and use in source",
-    "gpl-free": "this program is free software", "gpl-version": "either version", "mpl-name": "this source code form is subject",
+    "isc-grant": "permission to use, copy, modify", "0bsd-grant": "permission to use, copy, modify", "zlib-grant": "permission is granted to anyone", "boost-grant": "permission is hereby granted",
+    "unlicense": "this is free and unencumbered", "epl-name": "this program and the accompanying materials",
+    "lesser-free": "this (program|library) is free software", "affero-free": "this program is free software", "gpl-free": "this program is free software", "gpl-version": "either version", "mpl-name": "this source code form is subject",
 }
 #: A tag of one line whose value is an expression over identifiers; exceptions are no licences.
 SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\n]*)", re.IGNORECASE)
@@ -167,7 +187,7 @@ def claims(known: list[tuple[int, int, int, str, dict]]) -> list[tuple[str, int,
                 elif not took:
                     break
             if len(took) == len(names):
-                parts = {k: "-or-later" if k == "later" else v for j in took for k, v in known[j][4].items() if v}
+                parts = {k: "-or-later" if k == "later" else f"{v}.0" if k == "gplv" and "." not in v else v for j in took for k, v in known[j][4].items() if v}
                 for j in took:
                     free[j] = False
                 if names == HEAD and any(0 <= first - known[took[-1]][0] <= GAP + 1 and start > known[took[-1]][1] for first, start in ((o[3], o[1]) for o in out if o[0] != licence)):

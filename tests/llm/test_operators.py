@@ -317,11 +317,39 @@ def test_one_line_notices_among_lines():
     assert [x[0] for x in licences.scan("Copyright 2020 Some One\nAll rights reserved.\n\nNothing else.")] == ["Proprietary"]
 
 
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+AGPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+BOOST = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software."""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/"""
+
 #: For every pattern a text that it accepts and the licences of that text alone.
 KNOWN = {
     "mit-name": ("Available under the MIT License", ["MIT"]), "mit-grant": (MIT.split("\n\n")[2], []), "mit-notice": (MIT.split("\n\n")[3], []), "mit-warranty": (MIT.split("\n\n")[4], []),
     "apache-2-name": ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]), "apache-2-comply": ("You may not use this file except in compliance with the License.", []),
     "gpl-name-version": ("Released under GNU General Public License v2 or later.", ["GPL-2.0-or-later"]), "gpl-free": (GPL.replace("either version 3", "any version"), ["GPL"]), "gpl-version": ("Use either version 2 of the License, or (at your option) any later version.", []),
+    "lesser-free": (LGPL.split(" as published")[0] + " as\npublished by others.", ["LGPL"]), "affero-free": (AGPL.split(" as published")[0] + " as\npublished by others.", ["AGPL"]),
+    "isc-grant": (ISC, ["ISC"]), "0bsd-grant": (ISC.split(", provided")[0] + ".", ["0BSD"]), "zlib-grant": (ZLIB.split("\n\n")[1], ["Zlib"]), "boost-grant": (BOOST, ["BSL-1.0"]),
+    "unlicense": ("This is free and unencumbered software released into the public\ndomain.", ["Unlicense"]), "epl-name": (EPL, ["EPL-2.0"]),
     "lgpl-name": ("This library is licensed under the GNU Lesser General Public License.", ["LGPL"]),
     "bsd-redistribute": (BSD.split("\n\n")[1], []), "bsd-source": (BSD.split("\n\n")[2], []), "bsd-binary": (BSD.split("\n\n")[3], []), "bsd-endorse": (BSD.split("\n\n")[4], []),
     "cc-name": ("Released under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]), "cc0-name": ("This work is dedicated to the public domain.", ["CC0-1.0"]),
@@ -346,6 +374,8 @@ MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLice
 
 @pytest.mark.parametrize("text, found", [
     (on_one_line(MIT), ["MIT"]), (on_one_line(APACHE), ["Apache-2.0"]), (on_one_line(BSD), ["BSD-3-Clause"]), (MPL, ["MPL-2.0"]), (on_one_line(MPL), ["MPL-2.0"]), (on_one_line(GPL), ["GPL-3.0-or-later"]),
+    (LGPL, ["LGPL-2.1-or-later"]), (on_one_line(LGPL), ["LGPL-2.1-or-later"]), (AGPL, ["AGPL-3.0-or-later"]), (on_one_line(AGPL), ["AGPL-3.0-or-later"]), (on_one_line(ZLIB), ["Zlib"]),
+    ("Copyright (c) 2020 Some One " + on_one_line(ISC), ["ISC"]), ("Copyright (c) 2020 Some One " + on_one_line(BOOST), ["BSL-1.0"]), ("Copyright (c) 2020 Some One " + on_one_line(EPL), ["EPL-2.0"]),
     ("Released under the GNU General Public License version 2 or any later version.", ["GPL-2.0-or-later"]), ("Licensed under the GPL version 2.", ["GPL-2.0"]), ("This program is licensed under GPLv3.", ["GPL-3.0"]),
     ("SPDX-License-Identifier: MIT", ["MIT"]), ("// SPDX-License-Identifier: Apache-2.0 OR MIT\nint x;", ["Apache-2.0", "MIT"]), ("# SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0)", ["GPL-2.0-or-later"]), ("SPDX-License-Identifier: GPL-2.0+\n", ["GPL-2.0-or-later"]),
 ])
