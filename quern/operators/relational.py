@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate, groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,26 +23,56 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int, offset: int = 0) -> Da
     return (cut.offset(offset) if offset else cut).limit(n)
 
 
-def numbered(df: DataFrame, key: str, tie: str, name: str, falling: bool = False, parts: int = 64) -> DataFrame:
-    """df with its row numbers in the order of key, null being the largest, and then of tie, which rises.
+def numbered(df: DataFrame, key: str, tie: str, up: str, down: str, rows: int = 100_000, least: int = 64) -> DataFrame:
+    """df with two row numbers: up in the order of key, null being the largest, down in its falling order; tie, its nulls last, rises in both.
 
-    No task sees all rows: they are parted at quantiles of the key, those with a null key at quantiles of tie, numbered
-    within a part, and moved by the rows of the parts before, of which there are at most 2 * parts.
+    One shuffle deals the rows to the parts of parted; numbers within a part are moved by the rows of the parts before.
+    df is read four times: counted, sampled, counted by part and numbered.
     """
-    share = [i / parts for i in range(1, parts)]
-    of_key, of_tie = df.approxQuantile([key, tie], share, 0.25 / parts) if not df.isEmpty() else ([], [])
-    above = lambda c, cuts: F.lit(0) if not cuts else sum(((F.col(c) > F.lit(x)).cast("int") for x in sorted(set(cuts))), F.lit(0))
-    known = F.col(key).isNotNull()
-    place = F.when(known, above(key, of_key)).otherwise(parts)
-    place = (parts - place) if falling else place
-    part = F.struct(place.alias("a"), F.when(known, 0).otherwise(above(tie, of_tie)).alias("b"))
-    laid = df.withColumn("quern_part", part)
-    before = Window.orderBy("quern_part").rowsBetween(Window.unboundedPreceding, -1)  # over the parts alone
-    base = laid.groupBy("quern_part").agg(F.count("*").alias("n")).select("quern_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("quern_base"))
-    order = F.col(key).desc_nulls_first() if falling else F.col(key).asc_nulls_last()
-    within = F.row_number().over(Window.partitionBy("quern_part").orderBy(order, F.col(tie)))
-    out = laid.withColumn("quern_row", within).join(F.broadcast(base), "quern_part")
-    return out.withColumn(name, (F.col("quern_base") + F.col("quern_row")).cast("bigint")).drop("quern_part", "quern_base", "quern_row")
+    laid = parted(df, key, tie, rows, least)
+    before = lambda *order: F.coalesce(F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = laid.groupBy("quern_a", "quern_b").agg(F.count("*").alias("n"))
+    base = sizes.select("quern_a", "quern_b", before("quern_a", "quern_b").alias("quern_up"), before(F.desc("quern_a"), "quern_b").alias("quern_down"))  # over the parts alone
+    within = lambda order: F.row_number().over(Window.partitionBy("quern_a", "quern_b").orderBy(order, F.col(tie).asc_nulls_last()))
+    out = laid.withColumn("quern_rise", within(F.col(key).asc_nulls_last())).withColumn("quern_fall", within(F.col(key).desc_nulls_first()))
+    out = out.join(F.broadcast(base), ["quern_a", "quern_b"])
+    out = out.withColumns({up: (F.col("quern_up") + F.col("quern_rise")).cast("bigint"), down: (F.col("quern_down") + F.col("quern_fall")).cast("bigint")})
+    return out.drop("quern_a", "quern_b", "quern_up", "quern_down", "quern_rise", "quern_fall")
+
+
+def parted(df: DataFrame, key: str, tie: str, rows: int, least: int, most: int = 4096) -> DataFrame:
+    """df with quern_a and quern_b, the part of each row. Where key rises, parts follow one another by a, where it falls, by falling a; b rises in both.
+
+    A part holds one key (or null) between two values of tie, or the keys between two such keys, so a frequent key is split too. Cuts
+    lie about so many rows apart, and there are from least to most of them: places in a sorted sample of 40 rows to a cut, which decide
+    the layout of the rows and none of their numbers.
+    """
+    k, t = F.col(key), F.col(tie)
+    n = df.count()
+    parts = min(most, max(least, n // rows))
+    each = min(40, n // parts + 1)
+    some = df.select(*dict.fromkeys([key, tie])).sample(min(1.0, each * parts / max(n, 1)), seed=1)
+    at = F.row_number().over(Window.orderBy(k.asc_nulls_last(), t.asc_nulls_last()))  # over the sample
+    cuts = some.withColumn("quern_at", at).filter(F.col("quern_at") % each == 0).orderBy("quern_at").collect()
+    groups = [(x, [c[tie] for c in g if c[tie] is not None]) for x, g in groupby(cuts, lambda c: c[key])]
+    groups += [] if groups and groups[-1][0] is None else [(None, [])]
+    keys, ties, ends = [x for x, _ in groups[:-1]], [y for _, g in groups for y in g], [0, *accumulate(len(g) for _, g in groups)]
+    # a: twice the keys of cuts that are below, and one more for such a key itself; b: the cuts of that key whose ties are below
+    df = df.withColumn("quern_i", F.when(k.isNull(), len(keys)).otherwise(_below(keys, k, F.lit(0), F.lit(len(keys)))))
+    place = lambda xs: F.get(F.array(*map(F.lit, xs)), F.col("quern_i"))
+    itself = k.isNull() | F.coalesce(place(keys) == k, F.lit(False)) if keys else k.isNull()
+    low, high = place(ends[:-1]), place(ends[1:])
+    b = F.when(~itself, 0).when(t.isNull(), high).otherwise(_below(ties, t, low, high))
+    return df.withColumns({"quern_a": 2 * F.col("quern_i") + itself.cast("int"), "quern_b": b}).drop("quern_i")
+
+
+def _below(values: list, value: Column, low: Column, high: Column) -> Column:
+    """low and the number of values[low:high] less than value, by halving; these are sorted, and value is not null."""
+    if not values:
+        return low
+    sought = F.array(*map(F.lit, values))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(values).bit_length()))])
+    return F.aggregate(steps, low, lambda at, step: F.when((at + step <= high) & (F.get(sought, at + step - 1) < value), at + step).otherwise(at))
 
 
 def compare_any(left: DataFrame, value: str, op: str, right: DataFrame, other: str) -> DataFrame:

@@ -81,8 +81,7 @@ def sort_nulls(spark, sf):
     """Null sorts as the largest value: last when rising, first when falling."""
     key = F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey"))
     orders = table(spark, sf, "orders").select("o_orderkey", key.alias("k"))
-    up = numbered(orders, "k", "o_orderkey", "up")
-    return numbered(up, "k", "o_orderkey", "down", falling=True).select("up", "down", "o_orderkey")
+    return numbered(orders, "k", "o_orderkey", "up", "down").select("up", "down", "o_orderkey")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")

@@ -43,6 +43,31 @@ def test_distinct_on_and_top_n(t):
     assert [r.v for r in R.top_n(t, [S.asc("v")], 2, 2).collect()] == [7, None]
 
 
+@pytest.mark.parametrize("rows, least", [(100_000, 64), (100_000, 1), (7, 1), (1, 1)])
+def test_numbers_of_both_orders(spark, rows, least):
+    """Null keys, a frequent key, null ties, keys beyond all cuts, one key alone, no row."""
+    data = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i // 7, None if i == 91 else i) for i in range(300)] + [(2**60, -1), (-(2**60), -2)]
+    for some in (data, [(None, i) for i in range(50)], [(5, i) for i in range(50)], [(1, None)], []):
+        got = R.numbered(spark.createDataFrame(some, "k long, t long").repartition(3), "k", "t", "up", "down", rows, least)
+        tie = lambda r: (r[1] is None, r[1] or 0)
+        up = sorted(some, key=lambda r: (r[0] is None, r[0] or 0, tie(r)))
+        down = sorted(some, key=lambda r: (r[0] is not None, -(r[0] or 0), tie(r)))
+        assert got.dtypes == [("k", "bigint"), ("t", "bigint"), ("up", "bigint"), ("down", "bigint")]
+        assert sorted((r.up, r.k, r.t) for r in got.collect()) == [(i, *r) for i, r in enumerate(up, 1)]
+        assert sorted((r.down, r.k, r.t) for r in got.collect()) == [(i, *r) for i, r in enumerate(down, 1)]
+
+
+def test_parts_of_numbered_rows_grow_in_number_not_in_size(spark):
+    """A frequent key and null keys are split; parts keep their size on ten times the rows; both numbers come of one shuffle of the rows."""
+    for n in (3_000, 30_000):
+        df = spark.range(n).select(F.when(F.col("id") % 3 == 1, 5).when(F.col("id") % 3 == 2, F.col("id")).alias("k"), "id")
+        laid = R.parted(df, "k", "id", rows=500, least=1)
+        most = [r["n"] for r in laid.groupBy("quern_a", "quern_b").agg(F.count("*").alias("n")).orderBy(F.desc("n")).collect()]
+        assert sum(most) == n and most[0] <= 1500 and len(most) >= n // 500 - 2
+    plan = R.numbered(df, "k", "id", "up", "down", 500, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(quern_a") == 2  # the rows, and the counts of the parts
+
+
 def test_navigation_rejects_what_is_no_reference(spark):
     with pytest.raises(ValueError):
         R.navigate(spark, DATA, "orders", {"x": "o_totalprice.c_name"})
